@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from vigilframe.llm import quality_rules
+from vigilframe.llm import mixing, packing, quality_rules, sharding, token_counts
 from vigilframe.llm.util import table
 
 
+def op2_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("tag")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op7_best_fit_packing, op8_sharding, op9_mixing)}
 SQL = {"op4_quality_rules": quality_rules.SQL}
