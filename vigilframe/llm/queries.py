@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilframe.llm import mixing, packing, quality_rules, sharding, token_counts
+from vigilframe.llm import jaccard_join, mixing, packing, quality_rules, sharding, token_counts
 from vigilframe.llm.util import table
 
 
@@ -10,6 +10,10 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tag")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_quality_rules, op7_best_fit_packing, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_quality_rules, op7_best_fit_packing, op8_sharding, op9_mixing)}
 SQL = {"op4_quality_rules": quality_rules.SQL}
