@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilframe.llm import jaccard_join, mixing, packing, quality_rules, sharding, token_counts
+from vigilframe.llm import jaccard_join, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts
 from vigilframe.llm.util import table
 
 
@@ -18,6 +18,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tag")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_quality_rules, op7_best_fit_packing, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_quality_rules, op5_suffix_dedup, op7_best_fit_packing, op8_sharding, op9_mixing)}
 SQL = {"op4_quality_rules": quality_rules.SQL}
