@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from vigilframe.llm import jaccard_join, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts
+from pyspark.sql import functions as F
+
+from vigilframe.llm import curve_neighbours, jaccard_join, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts
 from vigilframe.llm.util import table
 
 
+def op1_curve_neighbours(spark, sf_dir):
+    return curve_neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -34,5 +40,5 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("tag")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op4_quality_rules, op5_suffix_dedup, op7_best_fit_packing, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_curve_neighbours, op2_token_counts, op3_jaccard_join, op4_quality_rules, op5_suffix_dedup, op7_best_fit_packing, op8_sharding, op9_mixing)}
 SQL = {"op4_quality_rules": quality_rules.SQL}
