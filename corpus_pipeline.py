@@ -1,21 +1,50 @@
-"""The corpus pipeline: STAGES applied in order to documents, each stage on all that its predecessor kept."""
+"""The corpus pipeline: STAGES applied in order to documents, each stage on all that its predecessor kept.
+
+Each stage is written as Parquet and read again before the next, by run() as by a caller who runs the stages alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilframe.llm import quality_rules
+from vigilframe.llm import jaccard_join, mixing, packing, quality_rules, secret_scan
 from vigilframe.llm.util import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by the name of their rule; every document stays."""
+    return secret_scan.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
 
-#: SQL can't express the cube method or the packing; tests hold the stages against brute force.
+#: SQL can't express the forest, the cube method or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
