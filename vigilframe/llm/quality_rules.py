@@ -38,6 +38,12 @@ RULES = (
 )
 
 
+def _once(e: Column) -> Column:
+    """e, always. The partition's number, which is not deterministic to the optimizer, keeps it from copying e into a
+    filter above, where a lambda would evaluate the whole array again for each of its elements."""
+    return F.when(F.spark_partition_id() >= 0, e)
+
+
 def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns `keep` of df, and one column for each measure, named with `prefix`."""
     p, mine = prefix, "__q_"
@@ -45,28 +51,28 @@ def measures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     out = df.select(*keep, body.alias(mine + "t"), F.btrim(body, F.lit(SPACE_CHARS)).alias(mine + "b"))
     none = F.array().cast("array<string>")
     out = out.select(
-        *keep, mine + "t", F.when(F.col(mine + "b") == "", none).otherwise(F.split(mine + "b", f"[{SPACES}]+")).alias(mine + "w"),
+        *keep, mine + "t", _once(F.when(F.col(mine + "b") == "", none).otherwise(F.split(mine + "b", f"[{SPACES}]+"))).alias(mine + "w"),
     )
     w, h, g, s = (F.col(mine + x) for x in "whgs")
     lines = F.filter(F.split(mine + "t", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     out = out.select(
         *keep, F.size(w).cast("long").alias(p + "n_words"), F.length(F.array_join(w, "")).cast("long").alias(p + "word_chars"),
         F.regexp_count(mine + "t", F.lit(f"[{SYMBOLS}]")).cast("long").alias(p + "n_symbols"),
-        lines.alias(mine + "l"), F.transform(w, lambda x: F.xxhash64(x)).alias(mine + "h"),
+        _once(lines).alias(mine + "l"), _once(F.transform(w, lambda x: F.xxhash64(x))).alias(mine + "h"),
     )
     done = [p + x for x in ("n_words", "word_chars", "n_symbols")]
     stop = [F.xxhash64(F.lit(x)) for x in STOP_WORDS]
     out = out.select(
         *keep, *done, F.size(F.filter(h, lambda x: x.isin(*stop))).cast("long").alias(p + "n_stop_words"),
         F.size(mine + "l").cast("long").alias(p + "n_lines"), (F.size(mine + "l") - F.size(F.array_distinct(mine + "l"))).cast("long").alias(p + "n_dup_lines"),
-        F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))).alias(mine + "g"),
+        _once(F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))).alias(mine + "g"),
     )
     done += [p + x for x in ("n_stop_words", "n_lines", "n_dup_lines")]
     # Only a text with a repeated window has its windows sorted.
     pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    out = out.select(*keep, *done, F.when(F.size(F.array_distinct(g)) < F.size(g), pairs).alias(mine + "s"))
+    out = out.select(*keep, *done, _once(F.when(F.size(F.array_distinct(g)) < F.size(g), pairs)).alias(mine + "s"))
     twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-    out = out.select(*keep, *done, F.when(s.isNotNull(), F.sort_array(F.transform(twice, lambda x: x["i"]))).alias(mine + "i"))
+    out = out.select(*keep, *done, _once(F.when(s.isNotNull(), F.sort_array(F.transform(twice, lambda x: x["i"])))).alias(mine + "i"))
     # Each window covers three words; in order, a window adds as many as the one before it leaves open.
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate(mine + "i", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])

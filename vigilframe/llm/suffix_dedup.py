@@ -78,20 +78,20 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     return row, start - offsets[row], count, owner - start, gram[owner], content
 
 
+_PACKED = ("part", "gram", "content", "who", "at", "shape", "docs", "gone")
+
+
 def _packed(parts: int):
-    """Segments of whole texts, one row for each partition; pieces that repeat within the task as rows of part -1."""
-    names = ["part", "doc", "tag", "start", "stop", "gram", "content", "who", "at", "shape", "docs"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    """Segments of whole texts, one row for each partition. gone: pieces that repeat within the task, along with them."""
 
     def flush(docs, tags, texts):
         frame = pd.DataFrame({"doc": docs, "tag": tags}).sort_values(["doc", "tag"], kind="stable")
         frame = frame.drop_duplicates()
         copy = frame.duplicated("tag").to_numpy()
         order, copies = frame.index.to_numpy(), frame[copy]
-        gone = [(d, t, 0, len(texts[i])) for i, d, t in zip(copies.index, copies["doc"], copies["tag"]) if len(texts[i]) >= SPAN]
+        gone = [np.array([(d, t, 0, len(texts[i])) for i, d, t in zip(copies.index, copies["doc"], copies["tag"])], np.int64).reshape(-1, 4)]
         order = order[~copy]
-        column = pa.array([texts[i] for i in order], pa.large_binary())
-        data, offsets, _ = utf8(column)
+        data, offsets, _ = utf8(pa.array([texts[i] for i in order], pa.large_binary()))
         found = []
         for i, j in pieces(offsets):
             row, *rest = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -104,40 +104,40 @@ def _packed(parts: int):
         again = np.zeros(len(by), bool)
         again[1:] = (gram[1:] == gram[:-1]) & (content[1:] == content[:-1])
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))
-        later = again & ((doc[who] > doc[who[lead]]) | ((doc[who] == doc[who[lead]]) & (at > at[lead])))
-        rows = [gone] if gone else []
-        if later.any():
-            rows.append(list(zip(doc[who[later]].tolist(), tag[who[later]].tolist(), at[later].tolist(), (at + count - 1 + SPAN)[later].tolist())))
-        out = [pa.RecordBatch.from_arrays([pa.array([-1] * len(r), pa.int32()), *[pa.array(c, pa.int64()) for c in zip(*r)], *[pa.nulls(len(r), pa.binary())] * 6], names) for r in rows]
+        later = again & ((doc[who] > doc[who[lead]]) | (at > at[lead]))
+        gone.append(np.stack([doc[who[later]], tag[who[later]], at[later], (at + count - 1 + SPAN)[later]], 1))
+        gone = np.concatenate(gone)
         who, at, count, place, gram, content = (x[~later] for x in (who, at, count, place, gram, content))
-        to = (((gram >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
-        cuts = np.searchsorted(to, np.arange(parts + 1))  # in order already, as gram is
+        # By the hash's low bits: the high ones, being least in their window, are small.
+        to = (((gram & _PLACE) * _U(parts)) >> _U(28)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        who, at, count, place, gram, content, to = (x[order] for x in (who, at, count, place, gram, content, to))
+        cuts = np.searchsorted(to, np.arange(parts + 1))
         packed = []
         for p in range(parts):
             a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                few, mine = np.unique(who[a:b], return_inverse=True)
-                shape = (count[a:b] * 256 + place[a:b]).astype(np.uint16)
-                packed.append((p, gram[a:b].tobytes(), content[a:b].tobytes(), mine.astype(np.uint32 if len(few) > 65535 else np.uint16).tobytes(), at[a:b].astype(np.uint32).tobytes(), shape.tobytes(), np.stack([doc[few], tag[few]]).tobytes()))
-        if packed:
-            p, *blobs = zip(*packed)
-            out.append(pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *[pa.nulls(len(p), pa.int64())] * 4, *[pa.array(x, pa.binary()) for x in blobs]], names))
-        return [b.cast(pa.schema(list(zip(names, kinds)))) for b in out]
+            few, mine = np.unique(who[a:b], return_inverse=True)
+            shape = (count[a:b] * 256 + place[a:b]).astype(np.uint16)
+            blobs = gram[a:b], content[a:b], mine.astype(np.uint32 if len(few) > 65535 else np.uint16), at[a:b].astype(np.uint32), shape, np.stack([doc[few], tag[few]]), gone[p::parts]
+            if a < b or len(blobs[-1]):
+                packed.append((p, *(x.tobytes() for x in blobs)))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed), [pa.int32()] + [pa.binary()] * 7)], _PACKED)
 
     def run(batches):
         docs, tags, texts, have = [], [], [], 0
         for batch in batches:
-            for d, t, x in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "body"))):
-                if len(x) >= SPAN:
-                    docs.append(d)
-                    tags.append(t)
-                    texts.append(x)
-                    have += len(x)
-                if have >= FLUSH:
-                    yield from flush(docs, tags, texts)
-                    docs, tags, texts, have = [], [], [], 0
+            for lo in range(0, batch.num_rows, 500):
+                for d, t, x in zip(*(batch.slice(lo, 500).column(c).to_pylist() for c in ("doc", "tag", "body"))):
+                    if len(x) >= SPAN:
+                        docs.append(d)
+                        tags.append(t)
+                        texts.append(x)
+                        have += len(x)
+                    if have >= FLUSH:
+                        yield flush(docs, tags, texts)
+                        docs, tags, texts, have = [], [], [], 0
         if have:
-            yield from flush(docs, tags, texts)
+            yield flush(docs, tags, texts)
 
     return run
 
@@ -147,8 +147,8 @@ _MET = "doc long, tag long, start long, stop long, gram long, count int, place i
 
 def _meet(part):
     """Rows with a stop: removed pieces. Rows with a gram: the earliest of each segment, where one minimizer has several."""
-    columns = []
-    for gram, content, who, at, shape, docs in zip(*(part[c].to_pylist() for c in ("gram", "content", "who", "at", "shape", "docs"))):
+    columns, gone = [], np.frombuffer(b"".join(part["gone"].to_pylist()), np.int64).reshape(-1, 4)
+    for gram, content, who, at, shape, docs in zip(*(part[c].to_pylist() for c in _PACKED[1:-1])):
         gram = np.frombuffer(gram, np.uint64)
         who = np.frombuffer(who, np.uint16 if len(who) == 2 * len(gram) else np.uint32)
         doc, tag = np.frombuffer(docs, np.int64).reshape(2, -1)
@@ -181,7 +181,9 @@ def _meet(part):
         of = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())] if removed else [pa.array(gram[mask].view(np.int64)), pa.array(count[mask].astype(np.int32)), pa.array((shape % 256)[mask].astype(np.int32))]
         return pa.table([pa.array(doc[mask]), pa.array(tag[mask]), pa.array(at[mask] + null), stop, *of], ["doc", "tag", "start", "stop", "gram", "count", "place"])
 
-    return pa.concat_tables([rows(later, True), rows(ask, False)])
+    n = len(gone)
+    before = pa.table([*map(pa.array, gone.T.copy()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], ["doc", "tag", "start", "stop", "gram", "count", "place"])
+    return pa.concat_tables([before, rows(later, True), rows(ask, False)])
 
 
 _FETCHED = "part long, doc long, tag long, start long, count int, place int, gram long, bytes binary"
@@ -336,16 +338,14 @@ def removed_pieces(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-total // BYTES_PER_PARTITION))
-    packed = docs.mapInArrow(_packed(parts), "part int, doc long, tag long, start long, stop long, gram binary, content binary, who binary, at binary, shape binary, docs binary")
-    packed = materialize(packed, "suffix-segments")
-    met = packed.filter("part >= 0").select("part", "gram", "content", "who", "at", "shape", "docs").groupBy("part").applyInArrow(_meet, _MET)
-    met = materialize(met, "suffix-met")
+    packed = docs.mapInArrow(_packed(parts), ", ".join(f"{c} {'binary' if k else 'int'}" for k, c in enumerate(_PACKED)))
+    met = materialize(packed.groupBy("part").applyInArrow(_meet, _MET), "suffix-met")
     asks = met.filter("gram IS NOT NULL")
     hot = asks.groupBy("gram").count().filter(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
     asks = asks.join(hot, "gram", "left").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "count", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
     fetched = docs.join(asks, ["doc", "tag"]).select("doc", "tag", "body", "asks").mapInArrow(_fetch(parts), _FETCHED)
     sorted_ = fetched.groupBy("part").applyInArrow(_sort, _REMOVED)
-    return packed.filter("part < 0").select("doc", "tag", "start", "stop").unionByName(met.filter("stop IS NOT NULL").select("doc", "tag", "start", "stop")).unionByName(sorted_)
+    return met.filter("stop IS NOT NULL").select("doc", "tag", "start", "stop").unionByName(sorted_)
 
 
 def suffix_dedup(df: DataFrame, with_text: bool = False) -> DataFrame:
