@@ -1,4 +1,17 @@
 """Queries and SQL of the library's own operators."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from vigilframe.operators import conversation, scanners, usage  # noqa: F401  registers plans
+from vigilframe.plans import rules
+from vigilframe.plans.sql import PLANS, oracle, query
+
+
+def guard_scan(spark, sf_dir):
+    """SC1-SC7, SC18, G1-G3: findings of all scanners, risk, decision and redaction for each document."""
+    out = scanners.guard(spark.read.parquet(f"{sf_dir}/documents.parquet"), rules=rules.DEFAULT)
+    return out.select("doc_id", "n_findings", "risk", "blocked", "safe", "redacted_text")
+
+
+QUERIES = {"guard_scan": guard_scan} | {name: query(name) for name in PLANS}
+SQL = {name: oracle(name) for name in PLANS}
