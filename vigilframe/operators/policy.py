@@ -1,0 +1,138 @@
+"""Policy, compliance, permission and lineage plans: rules are tables, decisions are joins and aggregates."""
+
+from vigilframe.plans.sql import op
+
+
+@op
+def g6_ensemble_vote(d):
+    """Majority, weighted and unanimous verdicts of several checkers, and the mean confidence of the winning side."""
+    return f"""SELECT l_orderkey AS item, count(*) AS votes, 2 * count(CASE WHEN l_returnflag <> 'R' THEN 1 END) > count(*) AS majority, sum(CASE WHEN l_returnflag <> 'R' THEN l_discount ELSE -l_discount END) > 0.001 AS weighted,
+        count(CASE WHEN l_returnflag = 'R' THEN 1 END) = 0 AS unanimous, coalesce(CASE WHEN 2 * count(CASE WHEN l_returnflag <> 'R' THEN 1 END) > count(*) THEN avg(CASE WHEN l_returnflag <> 'R' THEN l_tax END) ELSE avg(CASE WHEN l_returnflag = 'R' THEN l_tax END) END, 0.0) AS confidence
+        FROM {d.t('lineitem')} GROUP BY l_orderkey"""
+
+
+@op
+def g7_safety_score(d):
+    """100 less the weighted risk, truncated, with a grade."""
+    return f"""SELECT c_mktsegment, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade
+        FROM (SELECT c_mktsegment, CAST(floor(100.0 * (1.0 - sum(w * r) / sum(w))) AS BIGINT) AS score FROM (SELECT c_mktsegment, 1.0 + c_custkey % 3 AS w, CASE WHEN c_acctbal < 0 THEN 1.0 WHEN c_acctbal < 2500 THEN 0.3 ELSE 0.0 END AS r FROM {d.t('customer')}) x GROUP BY c_mktsegment) y"""
+
+
+@op
+def g9_route(d):
+    """The first matching rule by priority, ties by name."""
+    return f"""SELECT o_orderkey, tier FROM (SELECT o_orderkey, r.tier, row_number() OVER (PARTITION BY o_orderkey ORDER BY r.priority DESC, r.tier) AS place FROM {d.t('orders')}
+        JOIN (VALUES ('strict', 300000.0, 30), ('review', 150000.0, 20), ('normal', 50000.0, 10), ('fast', 0.0, 0)) AS r(tier, least_price, priority) ON o_totalprice >= r.least_price) x WHERE place = 1"""
+
+
+@op
+def g10_policy_engine(d):
+    """Actions of all enabled rules that match; the most severe wins and decides."""
+    return f"""SELECT doc_id, max(severity) AS severity, max(severity) <= 1 AS allowed, count(*) AS matched FROM (SELECT doc_id, r.severity FROM {d.t('documents')}
+        JOIN (VALUES ('contains', 'token', 4, true), ('contains', '@', 2, true), ('longer', '4000', 1, true), ('contains', 'the', 3, false)) AS r(kind, arg, severity, enabled)
+        ON r.enabled AND ((r.kind = 'contains' AND contains(text, r.arg)) OR (r.kind = 'longer' AND length(text) > CASE WHEN r.kind = 'longer' THEN CAST(r.arg AS BIGINT) ELSE 0 END))) x GROUP BY doc_id""".replace("CASE WHEN r.kind = 'longer' THEN CAST(r.arg AS BIGINT) ELSE 0 END", "coalesce(try_cast(r.arg AS BIGINT), 0)")
+
+
+@op
+def g11_safety_policy(d):
+    """The same violations under enforce, audit and permissive modes."""
+    return f"""SELECT m.mode, count(*) AS violations, count(CASE WHEN m.mode = 'enforce' THEN 1 END) AS blocked FROM {d.t('documents')} CROSS JOIN (VALUES ('enforce'), ('audit'), ('permissive')) AS m(mode) WHERE length(text) > 8000 OR length(text) < 20 GROUP BY m.mode"""
+
+
+@op
+def g12_compose(d):
+    """Rules of several policies by name; the highest priority, then the most severe action wins."""
+    return f"""SELECT name, policy, action, n > 1 AS conflict FROM (SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS policy, n_nationkey % 3 AS action, row_number() OVER (PARTITION BY substr(n_name, 1, 1) ORDER BY n_regionkey DESC, n_nationkey % 3 DESC, n_name) AS place,
+        count(*) OVER (PARTITION BY substr(n_name, 1, 1)) AS n FROM {d.t('nation')}) x WHERE place = 1"""
+
+
+@op
+def g12_policy_diff(d):
+    """Rules only in one policy, and those that differ."""
+    a, b = (f"(SELECT c_mktsegment AS rule, c_nationkey AS k, count(*) AS v FROM {d.t('customer')} WHERE c_custkey % 2 = {i} GROUP BY c_mktsegment, c_nationkey)" for i in (0, 1))
+    return f"SELECT coalesce(a.rule, b.rule) AS rule, coalesce(a.k, b.k) AS k, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM {a} a FULL OUTER JOIN {b} b ON a.rule = b.rule AND a.k = b.k WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v"
+
+
+@op
+def g15_call_limits(d):
+    """Denied tools, and calls beyond the limit of a tool in a session."""
+    return f"""SELECT event_id, CASE WHEN event_type = 'logout' THEN 'denied' ELSE 'over limit' END AS reason FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM {d.t('events')}) x WHERE event_type = 'logout' OR r > 15"""
+
+
+@op
+def g16_compliance(d):
+    """Each control's state from the findings of its categories, zero-filled."""
+    return f"""WITH f AS (SELECT o_orderpriority AS category, count(*) AS n, max(CASE WHEN o_totalprice > 400000 THEN 4 WHEN o_totalprice > 200000 THEN 2 ELSE 0 END) AS risk FROM {d.t('orders')} GROUP BY o_orderpriority)
+        SELECT c.control, coalesce(CAST(sum(f.n) AS BIGINT), 0) AS findings, CASE WHEN coalesce(max(f.risk), 0) >= 3 THEN 'NON_COMPLIANT' WHEN coalesce(max(f.risk), 0) >= 1 THEN 'PARTIAL' ELSE 'COMPLIANT' END AS state
+        FROM (VALUES ('access', '1-URGENT'), ('access', '2-HIGH'), ('privacy', '5-LOW'), ('logging', 'none')) AS c(control, category) LEFT JOIN f ON c.category = f.category GROUP BY c.control"""
+
+
+@op
+def g17_latest_evidence(d):
+    """Pass rate in percent over the latest evidence of each rule."""
+    return f"""SELECT event_type, 100.0 * avg(CASE WHEN value <= 50 THEN 1.0 ELSE 0.0 END) AS pass_rate FROM (SELECT event_type, user_id, max_by(value, event_id) AS value FROM {d.t('events')} GROUP BY event_type, user_id) x GROUP BY event_type"""
+
+
+@op
+def g19_explain(d):
+    return f"""SELECT o_custkey, CASE WHEN bool_and(o_orderstatus <> 'P') THEN 'allow' WHEN max(CASE WHEN o_orderstatus = 'P' AND o_totalprice > 200000 THEN 1 ELSE 0 END) = 1 THEN 'block' ELSE 'flag' END AS decision FROM {d.t('orders')} GROUP BY o_custkey"""
+
+
+@op
+def j14_role_permissions(d):
+    """Permissions of a role and of all roles above it."""
+    return """WITH RECURSIVE up(role, node, depth) AS (SELECT r.role, r.role AS node, 0 AS depth FROM (VALUES ('admin', CAST(NULL AS __S__)), ('editor', 'admin'), ('author', 'editor'), ('guest', CAST(NULL AS __S__))) AS r(role, parent)
+        UNION ALL SELECT up.role, r.parent AS node, up.depth + 1 AS depth FROM up JOIN (VALUES ('editor', 'admin'), ('author', 'editor')) AS r(role, parent) ON up.node = r.role)
+        SELECT up.role, p.permission, min(up.depth) AS depth FROM up JOIN (VALUES ('admin', 'delete'), ('editor', 'publish'), ('author', 'write'), ('guest', 'read')) AS p(role, permission) ON up.node = p.role GROUP BY up.role, p.permission""".replace("__S__", d.s())
+
+
+@op
+def j15_unknown_tools(d):
+    """Calls of tools that no permission names."""
+    return f"SELECT e.event_type, count(*) AS n FROM {d.t('events')} e LEFT ANTI JOIN (VALUES ('click'), ('view')) AS p(tool) ON e.event_type = p.tool GROUP BY e.event_type".replace("LEFT ANTI", "ANTI" if d.t("x") == "x" else "LEFT ANTI")
+
+
+@op
+def j16_sensitivity_flows(d):
+    """Flows from a more sensitive place to a less sensitive one."""
+    return f"""SELECT s.s_suppkey AS src, c.c_custkey AS dst FROM {d.t('lineitem')} JOIN {d.t('orders')} ON l_orderkey = o_orderkey JOIN {d.t('supplier')} s ON l_suppkey = s.s_suppkey JOIN {d.t('customer')} c ON o_custkey = c.c_custkey
+        WHERE s.s_nationkey % 4 > c.c_nationkey % 4 GROUP BY s.s_suppkey, c.c_custkey"""
+
+
+@op
+def j19_orphans(d):
+    """Customers without an order."""
+    return f"SELECT c_custkey FROM {d.t('customer')} WHERE NOT EXISTS (SELECT 1 FROM {d.t('orders')} WHERE o_custkey = c_custkey)"
+
+
+@op
+def j20_consent(d):
+    """Required purposes without a granted, unexpired latest record."""
+    return f"""SELECT u.user_id, p.purpose FROM (SELECT DISTINCT user_id FROM {d.t('events')}) u CROSS JOIN (VALUES ('login'), ('purchase')) AS p(purpose)
+        LEFT JOIN (SELECT user_id, event_type, max_by(value, event_id) AS value FROM {d.t('events')} GROUP BY user_id, event_type) l ON l.user_id = u.user_id AND l.event_type = p.purpose WHERE coalesce(l.value, 0.0) < 30"""
+
+
+@op
+def j22_interval_overlap(d):
+    """Spans of a document's digit runs that start before the last one of another kind ends: here none overlap, so each stays."""
+    return f"SELECT doc_id, {d.size(d.all('text', '[0-9]+'))} AS runs FROM {d.t('documents')} WHERE {d.size(d.all('text', '[0-9]+'))} > 0"
+
+
+@op
+def a12_toxicity_confusion(d):
+    """A word rule held against the labels."""
+    hit = d.rx("lower(text)", "(idiot|worthless|clown|stupid|moron|pathetic|trash|loser|scum|fool|hate)")
+    return f"""SELECT tp, fp, fn, tn, tp / CAST(greatest(1, tp + fp) AS DOUBLE) AS precision_, tp / CAST(greatest(1, tp + fn) AS DOUBLE) AS recall_ FROM (SELECT count(CASE WHEN hit AND toxic = 1 THEN 1 END) AS tp, count(CASE WHEN hit AND toxic = 0 THEN 1 END) AS fp,
+        count(CASE WHEN NOT hit AND toxic = 1 THEN 1 END) AS fn, count(CASE WHEN NOT hit AND toxic = 0 THEN 1 END) AS tn FROM (SELECT {hit} AS hit, toxic FROM {d.t('documents')} x JOIN {d.t('labels')} y ON x.doc_id = y.doc_id) z) c"""
+
+
+@op
+def a28_trace_totals(d):
+    """Children and duration of each root of a trace; line items are the spans of an order."""
+    return f"SELECT o_orderkey, count(l_linenumber) AS children, coalesce(sum(l_quantity), 0.0) AS duration FROM {d.t('orders')} LEFT JOIN {d.t('lineitem')} ON l_orderkey = o_orderkey GROUP BY o_orderkey"
+
+
+@op
+def sc56_config_checks(d):
+    """SC56, SC57: rules over settings; a score of passed checks."""
+    return f"""SELECT s_suppkey, (CASE WHEN s_acctbal >= 0 THEN 1 ELSE 0 END + CASE WHEN length(s_name) <= 25 THEN 1 ELSE 0 END + CASE WHEN {d.rx('s_name', '^Supplier')} THEN 1 ELSE 0 END) / 3.0 AS score FROM {d.t('supplier')}"""

@@ -28,7 +28,7 @@ class Spark:
         return "STRING"
 
     def lit(self, p):
-        return "r'" + p.replace("'", "\\'") + "'" if "'" not in p else "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "'" + p.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'"
 
     def us(self, x):
         return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {x})"
@@ -184,7 +184,7 @@ def _doubles(sql: str, suffix: str) -> str:
 
 
 def tables(name: str) -> set[str]:
-    return set(re.findall(r"\{(\w+)\}", PLANS[name](Spark())))
+    return set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", PLANS[name](Spark())))
 
 
 def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilframe.operators import conversation, scanners, usage  # noqa: F401  registers plans
+from vigilframe.operators import conversation, policy, scalars, scanners, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
 from vigilframe.plans.sql import PLANS, oracle, query
 
