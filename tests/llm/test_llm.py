@@ -300,7 +300,8 @@ def test_neighbours(spark):
         assert [m[0] for m in mine] == list(range(1, 21))
         hits += len({m[1] for m in mine} & {v[1] for v in w})
     assert hits / (20 * len(want)) >= 0.9
-    assert sorted(got[100])[:20] == pytest.approx(want[100]) or [m[1] for m in sorted(got[100])] == [v[1] for v in want[100]]
+    same = [m for m in sorted(got[120]) if 100 <= m[1] < 160]
+    assert [m[1] for m in same] == sorted(m[1] for m in same) and len({m[2] for m in same}) <= 1
     few = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>")
     assert curve_neighbours.nearest(few, F.col("id") == 0).count() == 4
     assert curve_neighbours.nearest(few.limit(0), F.col("id") == 0).count() == 0
