@@ -39,7 +39,7 @@ def words(text) -> Column:
 
 
 def sentences(text) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(col(text), F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(col(text), F.lit(r"[^.!?\n]+[.!?]?"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def char_ngrams(text, n: int = 4) -> Column:
