@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilframe.functions import text as T
-from vigilframe.operators import conversation, graph, policy, scalars, scanners, similarity, usage  # noqa: F401  registers plans
+from vigilframe.operators import conversation, graph, obfuscation, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
 from vigilframe.plans.golden import CASES
 from vigilframe.plans.shared import with_checkpoints
@@ -119,7 +119,17 @@ def st7_window_alerts(spark, sf_dir):
     return guards.drain(guards.window_alerts(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
 
 
-_OWN = (guard_scan, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
+def sc9_obfuscation(spark, sf_dir):
+    """SC9-SC17 over documents."""
+    return obfuscation.obfuscation(_table(spark, sf_dir, "documents")).select("doc_id", F.inline("hidden"))
+
+
+def a10_private_counts(spark, sf_dir):
+    """A10, A11."""
+    return privacy.private_counts(_table(spark, sf_dir, "events"), "event_type", 1.0, 7)
+
+
+_OWN = (sc9_obfuscation, a10_private_counts, guard_scan, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
 QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
 _EDGES = "(SELECT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders)"

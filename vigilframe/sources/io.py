@@ -15,7 +15,7 @@ def texts(spark: SparkSession, values) -> DataFrame:
 
 def files(spark: SparkSession, path: str, pattern: str = "*", most: int | None = None) -> DataFrame:
     """SRC3: path and whole text of each file; `most` only where a caller wants a sample."""
-    out = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     return out.limit(most) if most else out
 
 
