@@ -167,6 +167,13 @@ def test_quotation_links(spark):
         (2, [0], "other", None, 1, 1, 1, 1), (2, [1], "", None, None, None, 0, 0), (3, [0], "Thanks", None, None, None, 0, 0), (3, [1], "", None, None, None, 0, 0),
     ]
     assert quotation_links.format_chats(frame.limit(0)).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", frame.toPandas().astype({"conv_id": "Int64"}))
+    want = con.sql(f"SELECT conv_id, thread, body, reply_turn, far_conv, far_turn, n_quotes, n_linked, chat FROM ({quotation_links.SQL}) x").fetchall()
+    rows = [tuple(r[c] for c in ("conv_id", "thread", "body", "reply_turn", "far_conv", "far_turn", "n_quotes", "n_linked", "chat")) for r in quotation_links.format_chats(frame).collect()]
+    assert sorted(map(repr, want)) == sorted(map(repr, rows))
 
 
 def test_long_threads(spark):

@@ -49,4 +49,4 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_curve_neighbours, op2_token_counts, op3_jaccard_join, op4_quality_rules, op5_suffix_dedup, op6_quotation_links, op7_best_fit_packing, op8_sharding, op9_mixing, op10_secret_scan)}
-SQL = {"op4_quality_rules": quality_rules.SQL}
+SQL = {"op4_quality_rules": quality_rules.SQL, "op6_quotation_links": quotation_links.SQL}

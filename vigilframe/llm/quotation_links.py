@@ -111,3 +111,27 @@ def format_chats(messages: DataFrame) -> DataFrame:
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>")).alias("chat"), "text",
     )
     return out.repartitionByRange(shuffle_partitions(messages.sparkSession), "conv_id", "thread", "role", "text").sortWithinPartitions("conv_id", "thread", "role", "text").drop("text")
+
+
+SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) a),
+l0 AS (SELECT r, unnest(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), 1) AS i FROM m),
+l AS (SELECT r, i, raw, length(regexp_replace(regexp_extract(raw, '^[ \t]*>(?:[ \t]*>)*[ \t]?'), '[^>]', '', 'g')) AS level, regexp_replace(raw, '^[ \t]*>(?:[ \t]*>)*[ \t]?', '') AS s FROM l0),
+g AS (SELECT *, sum(CASE WHEN before = level THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY r ORDER BY i) AS before FROM l) a),
+body AS (SELECT m.r, m.conv_id, m.turn, m.role, trim(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (level = 0), ''), chr(10) || ' ') AS body FROM m JOIN l ON m.r = l.r GROUP BY m.r, m.conv_id, m.turn, m.role),
+runs AS (SELECT r, level, string_agg(s, chr(10) ORDER BY i) AS t FROM g WHERE level > 0 GROUP BY r, run, level),
+q AS (SELECT DISTINCT conv_id, turn, level, p FROM (SELECT m.conv_id, m.turn, level, trim(regexp_replace(lower(unnest(string_split_regex(t, '\n[ \t]*\n'))), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g')) AS p FROM runs JOIN m USING (r)) a WHERE p <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT DISTINCT conv_id, turn, p FROM (SELECT conv_id, turn, trim(regexp_replace(lower(unnest(string_split_regex(body, '\n[ \t]*\n'))), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g')) AS p FROM body) a WHERE p <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+near AS (SELECT conv_id, p, min(turn) AS t FROM o GROUP BY conv_id, p),
+far AS (SELECT p, min({'c': conv_id, 't': turn}) AS f FROM o GROUP BY p),
+k AS (SELECT q.conv_id, q.turn, q.level, CASE WHEN near.t < q.turn THEN q.conv_id WHEN far.f.c <> q.conv_id THEN far.f.c END AS to_conv, CASE WHEN near.t < q.turn THEN near.t WHEN far.f.c <> q.conv_id THEN far.f.t END AS to_turn
+  FROM q LEFT JOIN near ON near.conv_id = q.conv_id AND near.p = q.p LEFT JOIN far ON far.p = q.p),
+per AS (SELECT conv_id, turn, count(*) AS n_quotes, count(to_turn) AS n_linked, max(to_turn) FILTER (level = 1 AND to_conv = conv_id) AS reply_turn, min({'c': to_conv, 't': to_turn}) FILTER (level = 1 AND to_conv <> conv_id) AS f FROM k GROUP BY conv_id, turn),
+a AS (SELECT conv_id, turn, reply_turn FROM per WHERE reply_turn IS NOT NULL),
+path(conv_id, turn, thread) AS (
+  SELECT conv_id, turn, [reply_turn, turn] FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.conv_id = a.conv_id AND b.turn = a.reply_turn)
+  UNION ALL SELECT a.conv_id, a.turn, list_append(path.thread, a.turn) FROM path JOIN a ON a.conv_id = path.conv_id AND a.reply_turn = path.turn)
+SELECT body.conv_id, coalesce(path.thread, [body.turn]) AS thread, body.turn, body.role, body.body, per.reply_turn, per.f.c AS far_conv, per.f.t AS far_turn, coalesce(per.n_quotes, 0) AS n_quotes, coalesce(per.n_linked, 0) AS n_linked,
+  '<|' || coalesce(body.role, 'user') || '|>' || chr(10) || body.body || chr(10) || '<|end|>' AS chat
+FROM body LEFT JOIN per ON per.conv_id = body.conv_id AND per.turn = body.turn LEFT JOIN path ON path.conv_id = body.conv_id AND path.turn = body.turn
+"""
