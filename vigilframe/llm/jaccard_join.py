@@ -37,6 +37,7 @@ BAND = 4
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 SLICE = 1 << 14
+SALTS = 256
 BIG = 48
 BLOCK = 192
 SKETCH = 8
@@ -129,6 +130,9 @@ def _add_slices(batches):
 def _frequencies(measured: DataFrame) -> np.ndarray:
     """The table of counters: CELLS numbers, whatever the input."""
     rows = measured.filter("slice IS NOT NULL").select("slice", "counts")
+    # First within each task and by salted slice, so that no task has a row from every task of a large input.
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).repartition(shuffle_partitions(measured.sparkSession), "slice", "salt")
+    rows = rows.select("slice", "counts").mapInArrow(_add_slices, "slice int, counts binary")
     rows = rows.repartition(CELLS // SLICE, "slice").mapInArrow(_add_slices, "slice int, counts binary").collect()
     out = np.zeros(CELLS, np.uint32)
     for s, x in rows:
