@@ -111,20 +111,34 @@ def _measure(batches):
         packed = counts.reshape(-1, SLICE)
         empty = [pa.nulls(len(packed), pa.int64())] * (3 + SKETCH)
         yield pa.RecordBatch.from_arrays(
-            [*empty, pa.array(range(len(packed)), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())],
+            [*empty, pa.array(range(len(packed)), pa.int32()), pa.array([_shut(x) for x in packed], pa.binary())],
             ["doc_id", "n", "cls", *(f"k{i}" for i in range(SKETCH)), "slice", "counts"],
         )
 
 
+def _shut(counts: np.ndarray) -> bytes:
+    """Counters of a slice as bytes: places and counts of the few that aren't zero, or all of them."""
+    at = np.flatnonzero(counts)
+    return counts.astype(np.uint32).tobytes() if len(at) * 6 >= SLICE * 4 else at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
+
+
+def _opened(blob) -> tuple[np.ndarray | slice, np.ndarray]:
+    """Places and counts."""
+    raw = bytes(blob)
+    n = len(raw) // 6
+    return (slice(None), np.frombuffer(raw, np.uint32)) if len(raw) == SLICE * 4 else (np.frombuffer(raw[: 2 * n], np.uint16), np.frombuffer(raw[2 * n :], np.uint32))
+
+
 def _add_slices(batches):
     """Per task, one sum for each slice."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, x in zip(batch.column(0).to_pylist(), batch.column(1)):
             sums.setdefault(s, np.zeros(SLICE, np.uint64))
-            sums[s] += np.frombuffer(x.as_buffer(), np.uint32)
+            at, counts = _opened(x.as_buffer())
+            sums[s][at] += counts
     for s, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_shut(np.minimum(x, 2**32 - 1))], pa.binary())], ["slice", "counts"])
 
 
 def _frequencies(measured: DataFrame) -> np.ndarray:
@@ -136,7 +150,8 @@ def _frequencies(measured: DataFrame) -> np.ndarray:
     rows = rows.repartition(CELLS // SLICE, "slice").mapInArrow(_add_slices, "slice int, counts binary").collect()
     out = np.zeros(CELLS, np.uint32)
     for s, x in rows:
-        out[s * SLICE : (s + 1) * SLICE] = np.frombuffer(x, np.uint32)
+        at, counts = _opened(x)
+        out[s * SLICE : (s + 1) * SLICE][at] = counts
     return out
 
 
