@@ -206,3 +206,13 @@ def test_private_counts(spark):
     assert abs(sum(x[0] for x in draws) / 12 - 250) < 5 and len({x[0] for x in draws}) > 1
     mean = privacy.private_mean(frame, "bin", 0.0, 3.0, 1.0, 3).first().mean
     assert abs(mean - 1.5) < 0.2
+
+
+def test_priority_queue_places_every_event(spark):
+    from vigilframe.queries import t3_priority_queue
+
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "event_type", "ts").collect()
+    want = {e.event_id: k for k, e in enumerate(sorted(events, key=lambda e: (e.event_type, e.ts, e.event_id)), 1)}
+    got = t3_priority_queue(spark, DATA).collect()
+    assert len(got) == len(events) and {r.event_id: r.place for r in got} == want
+    assert all(r.tries == r.event_id % 4 and r.dead_letter == (r.tries == 3) for r in got)

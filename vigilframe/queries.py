@@ -129,9 +129,17 @@ def a10_private_counts(spark, sf_dir):
     return privacy.private_counts(_table(spark, sf_dir, "events"), "event_type", 1.0, 7)
 
 
+@with_checkpoints
+def t3_priority_queue(spark, sf_dir):
+    """SNK8, T3: places over all events."""
+    return usage.priority_queue(_table(spark, sf_dir, "events"))
+
+
 _OWN = (sc9_obfuscation, a10_private_counts, guard_scan, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
 QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
+# In place of the plan, whose SQL checks it.
+QUERIES |= {"t3_priority_queue": t3_priority_queue}
 _EDGES = "(SELECT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders)"
 SQL = {name: oracle(name) for name in PLANS} | {
     "sc_rule_counts": _rule_counts_sql(),
