@@ -216,3 +216,14 @@ def test_priority_queue_places_every_event(spark):
     got = t3_priority_queue(spark, DATA).collect()
     assert len(got) == len(events) and {r.event_id: r.place for r in got} == want
     assert all(r.tries == r.event_id % 4 and r.dead_letter == (r.tries == 3) for r in got)
+
+
+def test_sanitize_keeps_whole_texts(spark):
+    long = "word " * 400 + "end"
+    texts = {
+        long: long, "a\u200bb\u00adc\ufeff\u034f\u180e\ufff9": "abc", "\x00a\x0b\x7fb": "ab", "АВСаеуΑΙΧͰ": "ABCaeyAIXA", "x[inst]y<<SYS>>z<|User|></s>": "xyz",
+        "  a \t b\r\n\n\n\n\n c  \n": "a b\n\nc", "a\n\n\n\nb": "a\n\nb", "": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.clean for r in apply(spark, "f17_sanitize", documents=docs).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())

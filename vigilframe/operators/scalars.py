@@ -36,10 +36,36 @@ def f15_char_chunks(d):
     return f"SELECT item_id, c, substr(text, CAST(c * 180 + 1 AS INT), 200) AS chunk FROM (SELECT item_id, text, {d.explode(d.seq('0', 'CAST(floor(greatest(length(text) - 21, 0) / 180.0) AS INT)'))} AS c FROM {d.t('benchmark')}) a"
 
 
+#: What Python's str.strip takes for blank, but for the newline.
+BLANK = r" \t\r\x0B\x0C\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Invisible characters, and control characters but for tab and line ends.
+UNSEEN = r"[\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}\x{AD}\x{34F}\x{180E}\x{FFF9}-\x{FFFB}\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+#: Cyrillic, then Greek letters that look Latin.
+LOOKALIKES = ("АВСЕНКМОРТХаеорсухΑΒΕΗΙΚΜΝΟΡΤΧͰ", "ABCEHKMOPTXaeopcyxABEHIKMNOPTXA")
+#: Each is taken out in turn.
+DELIMITERS = (r"\[INST\]", r"\[/INST\]", "</s>", "<<SYS>>", "<</SYS>>", r"<\|im_start\|>", r"<\|im_end\|>", r"<\|system\|>", r"<\|user\|>", r"<\|assistant\|>", r"<\|endoftext\|>")
+
+
+def without_delimiters(d, x):
+    """Texts with no token, which are most, meet one pattern in place of eleven."""
+    out = x
+    for token in DELIMITERS:
+        out = d.rep(out, f"(?i){token}", "")
+    return f"CASE WHEN {d.rx(x, '(?i)' + '|'.join(DELIMITERS))} THEN {out} ELSE {x} END"
+
+
+def tidy(d, x, most=None):
+    """Blanks collapsed and stripped in each line; the whole text, or its first `most` characters."""
+    x = d.rep(d.rep(x, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")
+    x = d.rep(d.rep(x, rf"[{BLANK}]+\n[{BLANK}]*|\n[{BLANK}]+", "\n"), rf"^[\n{BLANK}]+|[\n{BLANK}]+\z", "")
+    return x if most is None else f"substr({x}, 1, {most})"
+
+
 @op
 def f17_sanitize(d):
-    """Control characters out, blanks collapsed, cut to 500 characters."""
-    return f"SELECT doc_id, substr(trim({d.rep(d.rep('text', '[\\x01-\\x08\\x0E-\\x1F]', ''), '[ \\t\\n\\r]+', ' ')}), 1, 500) AS clean FROM {d.t('documents')}"
+    """invisible and control characters out, lookalikes Latin, system tokens out, blanks collapsed in each line."""
+    seen = f"translate({d.rep('text', UNSEEN, '')}, '{LOOKALIKES[0]}', '{LOOKALIKES[1]}')"
+    return f"SELECT doc_id, {tidy(d, 'body')} AS clean FROM (SELECT doc_id, {without_delimiters(d, 'seen')} AS body FROM (SELECT doc_id, {seen} AS seen FROM {d.t('documents')}) a) b"
 
 
 @op
