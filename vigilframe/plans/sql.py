@@ -42,6 +42,10 @@ class Spark:
     def rep(self, x, p, r):
         return f"regexp_replace({x}, {self.lit(p)}, '{r}')"
 
+    def rep1(self, x, p, r):
+        """The first match alone replaced, case ignored."""
+        return f"regexp_replace({x}, {self.lit(f'(?is)^(.*?){p}')}, '$1{r}')"
+
     def get(self, x, p, g=0):
         return f"regexp_extract({x}, {self.lit(p)}, {g})"
 
@@ -122,6 +126,9 @@ class Duck(Spark):
     def rep(self, x, p, r):
         return f"regexp_replace({x}, {self.lit(p)}, '{r}', 'g')"
 
+    def rep1(self, x, p, r):
+        return f"regexp_replace({x}, {self.lit(f'(?i){p}')}, '{r}')"
+
     def all(self, x, p):
         return f"regexp_extract_all({x}, {self.lit(p)})"
 
