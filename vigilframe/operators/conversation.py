@@ -1,20 +1,50 @@
-"""Conversation plans: windows over the turns of each conversation. A turn's risk comes from a few stated words, so that the
-plans can be checked in SQL; `scored` takes any table with conv_id, turn, role, text and risk in its place."""
+"""Conversation plans: windows over the turns of each conversation. Where a plan asks for a turn's risk, it reads `scored`, the
+turns with what the scanners find in them; any table with conv_id, turn, role, text, risk, categories and dangerous can take
+its place."""
 
-from vigilframe.plans.sql import op
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vigilframe.functions.text import NONE
+from vigilframe.operators import scanners
+from vigilframe.plans.rules import DEFAULT, Rule
+from vigilframe.plans.scored_sql import scored_sql
+from vigilframe.plans.sql import MADE, op
 
 ORDER = "PARTITION BY conv_id ORDER BY turn"
+BEFORE = f"({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: Categories that speak of an attack when they persist.
+DANGEROUS = ("prompt_injection", "harmful_content", "tool_use", "toxicity")
+
+
+def scored(turns: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
+    """Turns with risk (0 to 4, the worst finding's), categories (sorted) and whether one of them is DANGEROUS."""
+    found = scanners.with_findings(turns.select("conv_id", "turn", "role", "text"), "text", rules)
+    out = found.select(
+        "conv_id", "turn", "role", "text", F.coalesce(F.array_max(F.transform("findings", lambda x: x["risk"])), F.lit(NONE)).cast("long").alias("risk"),
+        F.array_sort(F.array_distinct(F.transform("findings", lambda x: x["scanner"]))).alias("categories"),
+    )
+    return out.withColumn("dangerous", F.arrays_overlap("categories", F.array(*[F.lit(c) for c in DANGEROUS])))
+
+
+MADE["scored"] = ("conversations", scored, lambda: scored_sql(scanners.GROUPED, DANGEROUS))
 
 
-def turns(d):
-    """Turns with a risk from 0 to 4 that grows with alarming letters: a stand-in that every engine computes alike."""
-    return f"(SELECT conv_id, turn, role, text, CAST({d.rxn('lower(text)', 'th')} % 5 AS BIGINT) AS risk, {d.rep('lower(text)', '[^a-z ]', '')} AS norm FROM {d.t('conversations')})"
+def escalations(d):
+    """Turns with rises, persistent and again, the three ways in which a user turn after the first escalates."""
+    kinds = sorted({r.scanner for r in DEFAULT})
+    blocked = ", ".join(f"max(CASE WHEN risk >= 3 AND array_contains(categories, '{k}') THEN 1 ELSE 0 END) OVER {BEFORE} AS b_{k}" for k in kinds)
+    again = " OR ".join(f"(b_{k} = 1 AND array_contains(categories, '{k}'))" for k in kinds)
+    return f"""(SELECT conv_id, turn, risk, asks AND risk > before AND risk >= 2 AND dangerous AS rises, asks AND n >= 3 AND 2 * hot >= n AND dangerous AS persistent, asks AND ({again}) AS again
+        FROM (SELECT conv_id, turn, risk, categories, dangerous, role = 'user' AND count(CASE WHEN role = 'user' THEN 1 END) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 2 AS asks,
+        coalesce(lag(risk) OVER ({ORDER}), 0) AS before, count(CASE WHEN dangerous THEN 1 END) OVER ({ORDER} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS hot,
+        count(*) OVER ({ORDER} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS n, {blocked} FROM {d.t('scored')} t) u)"""
 
 
 @op
 def a23_conversation_summary(d):
     return f"""SELECT conv_id, count(*) AS turns, count(CASE WHEN role = 'user' THEN 1 END) AS user_turns, count(CASE WHEN role = 'assistant' THEN 1 END) AS assistant_turns, max(risk) AS top_risk,
-        count(CASE WHEN risk >= 3 THEN 1 END) AS flags FROM {turns(d)} t GROUP BY conv_id"""
+        count(CASE WHEN risk >= 3 THEN 1 END) AS flags FROM {d.t('scored')} t GROUP BY conv_id"""
 
 
 @op
@@ -25,28 +55,31 @@ def a24_engagement(d):
 
 @op
 def w10_escalations(d):
-    """A turn above the one before and at least medium; risk persists if half of the last six turns have it."""
-    return f"""SELECT conv_id, turn, risk, risk > before AND risk >= 2 AS escalation, hot >= 3 AS persistent, max(risk) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
-        FROM (SELECT conv_id, turn, risk, coalesce(lag(risk) OVER ({ORDER}), 0) AS before, count(CASE WHEN risk >= 2 THEN 1 END) OVER ({ORDER} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS hot FROM {turns(d)} t) x"""
+    """A user turn that rises above the turn before to medium at least, persists (half of the last six turns are
+    dangerous) or comes again in a category that was blocked."""
+    return f"""SELECT conv_id, turn, risk, rises AS escalation, coalesce(persistent, false) AS persistent, coalesce(again, false) AS again,
+        max(risk) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM {escalations(d)} x"""
 
 
 @op
 def w11_conversation_risk(d):
     """The top risk, raised to high by two escalations."""
-    return f"""SELECT conv_id, greatest(max(risk), CASE WHEN count(CASE WHEN risk > before AND risk >= 2 THEN 1 END) >= 2 THEN 3 ELSE 0 END) AS risk
-        FROM (SELECT conv_id, risk, coalesce(lag(risk) OVER ({ORDER}), 0) AS before FROM {turns(d)} t) x GROUP BY conv_id"""
+    return f"""SELECT conv_id, greatest(max(risk), CASE WHEN count(CASE WHEN rises OR persistent OR again THEN 1 END) >= 2 THEN 3 ELSE 0 END) AS risk FROM {escalations(d)} x GROUP BY conv_id"""
 
 
 @op
 def w12_sandwich(d):
-    """A dangerous user turn between two harmless ones."""
-    return f"""SELECT conv_id, turn FROM (SELECT conv_id, turn, risk, lag(risk) OVER ({ORDER}) AS before, lead(risk) OVER ({ORDER}) AS after FROM {turns(d)} t WHERE role = 'user') x
-        WHERE risk >= 3 AND before <= 1 AND after <= 1"""
+    """A dangerous user turn of high risk between two that are not dangerous."""
+    return f"""SELECT conv_id, turn FROM (SELECT conv_id, turn, risk, dangerous, lag(dangerous) OVER ({ORDER}) AS before, lead(dangerous) OVER ({ORDER}) AS after FROM {d.t('scored')} t WHERE role = 'user') x
+        WHERE dangerous AND risk >= 3 AND NOT before AND NOT after"""
 
 
 @op
 def w13_topic_persistence(d):
-    return f"SELECT conv_id, risk AS category, count(*) AS n FROM {turns(d)} t WHERE role = 'user' GROUP BY conv_id, risk HAVING count(*) >= 2"
+    """A dangerous category in three or more user turns."""
+    some = ", ".join(f"'{c}'" for c in DANGEROUS)
+    return f"""SELECT conv_id, category, count(*) AS n FROM (SELECT conv_id, {d.explode('categories')} AS category FROM {d.t('scored')} t WHERE role = 'user') x
+        WHERE category IN ({some}) GROUP BY conv_id, category HAVING count(*) >= 3"""
 
 
 @op
@@ -68,12 +101,12 @@ def w16_gradual_push(d):
     """Three or more strictly rising risks in a row; confidence a quarter for each turn, 1 at most."""
     return f"""SELECT conv_id, min(turn) AS first_turn, count(*) AS run, least(1.0, 0.25 * count(*)) AS confidence FROM (SELECT conv_id, turn,
         count(CASE WHEN before IS NULL OR risk <= before THEN 1 END) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
-        FROM (SELECT conv_id, turn, risk, lag(risk) OVER ({ORDER}) AS before FROM {turns(d)} t) x) y GROUP BY conv_id, island HAVING count(*) >= 3"""
+        FROM (SELECT conv_id, turn, risk, lag(risk) OVER ({ORDER}) AS before FROM {d.t('scored')} t) x) y GROUP BY conv_id, island HAVING count(*) >= 3"""
 
 
 @op
 def w17_reset_attack(d):
-    return f"""SELECT conv_id, turn FROM (SELECT conv_id, turn, risk, lag(risk, 1) OVER ({ORDER}) AS one, lag(risk, 2) OVER ({ORDER}) AS two FROM {turns(d)} t) x WHERE risk >= 2 AND one = 0 AND two >= 2"""
+    return f"""SELECT conv_id, turn FROM (SELECT conv_id, turn, risk, lag(risk, 1) OVER ({ORDER}) AS one, lag(risk, 2) OVER ({ORDER}) AS two FROM {d.t('scored')} t) x WHERE risk >= 2 AND one = 0 AND two >= 2"""
 
 
 @op
@@ -84,18 +117,18 @@ def w18_role_shift(d):
 @op
 def w19_last_three_trend(d):
     return f"""SELECT conv_id, CASE WHEN two IS NULL THEN 'stable' WHEN risk > one AND one > two THEN 'increasing' WHEN risk < one AND one < two THEN 'decreasing' WHEN (risk > one AND one < two) OR (risk < one AND one > two) THEN 'volatile' ELSE 'stable' END AS trend
-        FROM (SELECT conv_id, risk, lag(risk, 1) OVER ({ORDER}) AS one, lag(risk, 2) OVER ({ORDER}) AS two, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {turns(d)} t) x WHERE back = 1"""
+        FROM (SELECT conv_id, risk, lag(risk, 1) OVER ({ORDER}) AS one, lag(risk, 2) OVER ({ORDER}) AS two, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {d.t('scored')} t) x WHERE back = 1"""
 
 
 @op
 def w20_escalation_points(d):
-    return f"SELECT conv_id, turn, risk - before AS jump FROM (SELECT conv_id, turn, risk, lag(risk) OVER ({ORDER}) AS before FROM {turns(d)} t) x WHERE risk - before > 1"
+    return f"SELECT conv_id, turn, risk - before AS jump FROM (SELECT conv_id, turn, risk, lag(risk) OVER ({ORDER}) AS before FROM {d.t('scored')} t) x WHERE risk - before > 1"
 
 
 @op
 def w21_repetition(d):
     """A text seen before in its conversation, with its first turn."""
-    return f"""SELECT conv_id, turn, first_turn FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, norm) AS first_turn, row_number() OVER (PARTITION BY conv_id, norm ORDER BY turn) AS r FROM {turns(d)} t) x WHERE r > 1"""
+    return f"""SELECT conv_id, turn, first_turn FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, norm) AS first_turn, row_number() OVER (PARTITION BY conv_id, norm ORDER BY turn) AS r FROM (SELECT conv_id, turn, {d.rep('lower(text)', '[^a-z ]', '')} AS norm FROM {d.t('conversations')}) t) x WHERE r > 1"""
 
 
 @op

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 PLANS: dict[str, Callable] = {}
+#: Tables that are made of others: the table that each reads, its DataFrame function, and SQL for the other engine.
+MADE: dict[str, tuple[str, Callable, Callable]] = {}
 
 
 def op(f: Callable) -> Callable:
@@ -106,7 +108,7 @@ class Spark:
 
 class Duck(Spark):
     def t(self, name):
-        return name
+        return f"({MADE[name][2]()})" if name in MADE else name
 
     def lit(self, p):
         return "'" + p.replace("'", "''") + "'"
@@ -200,8 +202,13 @@ def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
 
 
 def query(name: str):
+    def frame(spark, sf_dir, t):
+        if t in MADE:
+            return MADE[t][1](frame(spark, sf_dir, MADE[t][0]))
+        return spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
     def run(spark, sf_dir):
-        return apply(spark, name, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables(name)})
+        return apply(spark, name, **{t: frame(spark, sf_dir, t) for t in tables(name)})
 
     return run
 
