@@ -320,3 +320,11 @@ def test_hilbert_is_a_curve():
     order = np.argsort(curve_neighbours.hilbert(cells, 3))
     assert sorted(curve_neighbours.hilbert(cells, 3)) == list(range(512))
     assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
+
+
+def test_far_link_skips_the_quoting_conversation(spark):
+    chats = [(1, 3, "user", "> the lost passage\n\nmine"), (1, 5, "user", "the lost passage"), (2, 0, "user", "hello"), (2, 4, "user", "the lost passage"), (2, 6, "user", "The lost passage!")]
+    chats += [(3, 0, "user", "the lost passage"), (3, 1, "user", "> the lost passage"), (4, 1, "user", "> the lost passage"), (5, 2, "user", "> only here"), (5, 7, "user", "only here")]
+    frame = spark.createDataFrame(chats, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_turn, r.far_conv, r.far_turn) for r in quotation_links.format_chats(frame).collect() if r.n_quotes}
+    assert got == {(1, 3): (None, 2, 4), (3, 1): (0, None, None), (4, 1): (None, 1, 5), (5, 2): (None, None, None)}

@@ -68,9 +68,11 @@ def links(parsed: DataFrame) -> DataFrame:
     has = known.select("conv_id", "turn", F.explode("own").alias("p")).select("conv_id", "turn", F.xxhash64("p").alias("h")).distinct().join(asked, "h", "left_semi")
     has = materialize(has, "quoted-originals")
     near = has.groupBy("conv_id", "h").agg(F.min("turn").alias("near"))
-    first = has.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    out = quotes.join(near, ["conv_id", "h"], "left").join(first, "h", "left").withColumn("near", F.when(F.col("near") < F.col("turn"), F.col("near")))
-    far = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first"))
+    # The first message of each of the two smallest conversations: one of them isn't the quoting one.
+    first = near.groupBy("h").agg(F.min(F.struct("conv_id", F.col("near").alias("turn"))).alias("first"))
+    second = near.join(first, "h").filter(F.col("conv_id") != F.col("first.conv_id")).groupBy("h").agg(F.min(F.struct("conv_id", F.col("near").alias("turn"))).alias("second"))
+    out = quotes.join(near, ["conv_id", "h"], "left").join(first, "h", "left").join(second, "h", "left").withColumn("near", F.when(F.col("near") < F.col("turn"), F.col("near")))
+    far = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
     return out.select(
         "conv_id", "turn", "level", "h", F.when(F.col("near").isNotNull(), F.col("conv_id")).otherwise(far["conv_id"]).alias("to_conv"),
         F.coalesce("near", far["turn"]).alias("to_turn"),
