@@ -328,3 +328,21 @@ def test_far_link_skips_the_quoting_conversation(spark):
     frame = spark.createDataFrame(chats, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.turn): (r.reply_turn, r.far_conv, r.far_turn) for r in quotation_links.format_chats(frame).collect() if r.n_quotes}
     assert got == {(1, 3): (None, 2, 4), (3, 1): (0, None, None), (4, 1): (None, 1, 5), (5, 2): (None, None, None)}
+
+
+def test_neighbours_among_near_copies(spark, monkeypatch):
+    """A third of the rows are one vector and little noise; blocks are small so that a window is a small part of them."""
+    monkeypatch.setattr(curve_neighbours, "BLOCK", 16)
+    r = np.random.default_rng(11)
+    x = r.normal(size=(4500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1500] = x[0] + 1e-5 * r.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = nearest(rows, range(0, 1500, 30), 20)
+    got = defaultdict(set)
+    for g in curve_neighbours.nearest(frame, (F.col("id") % 30 == 0) & (F.col("id") < 1500)).collect():
+        got[g.query_id].add(g.vec_id)
+    recall = sum(len(got[q] & {v[1] for v in w}) for q, w in want.items()) / (20 * len(want))
+    assert recall >= 0.9, recall

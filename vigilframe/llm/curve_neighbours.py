@@ -1,7 +1,9 @@
 """Approximate nearest neighbours (largest inner product) by shifted space-filling curves.
 
-Each of CURVES orderings turns vectors at random, keeps DIMS coordinates, shifts them at random and cuts them into a grid
-of 2 ** BITS cells a side; the cell's place on the Hilbert curve is the key. Spark range-partitions the keys of a curve,
+Each of CURVES orderings turns vectors at random, keeps DIMS coordinates, shifts them at random (by up to three cells of a
+grid of 2 ** COARSE a side) and cuts them into a grid of 2 ** BITS cells a side; the cell's place on the Hilbert curve, in
+words of WORD bits a dimension, is the key. So fine a grid orders near copies too: a cell is 2e-8 of a coordinate's
+deviation wide, and a curve orders what is left in one cell by a hash of its own. Spark range-partitions the keys of a curve,
 which gives every row its rank; a query is compared with all rows of its block of BLOCK ranks and of the blocks within
 REACH of all ranks on either side. What the curves find is merged and ranked by exact inner products in double precision.
 
@@ -31,16 +33,25 @@ from vigilframe.llm.util import materialize, shuffle_partitions
 
 CURVES = 16
 DIMS = 8
-BITS = 6
+BITS = 28
+WORD = 7
+COARSE = 6
 BLOCK = 512
 BLOCKS_PER_GROUP = 16
 REACH = 0.028
 SAMPLE = 4096
 TOP = 20
+KEYS = tuple(f"key{k}" for k in range(BITS // WORD))
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The place of each row of cells (rows, dimensions) on the Hilbert curve, by Skilling's transform."""
+    """The place of each row of cells (rows, dimensions) on the Hilbert curve, where it fits into 63 bits."""
+    return hilbert_words(cells, bits, bits)[0]
+
+
+def hilbert_words(cells: np.ndarray, bits: int = BITS, word: int = WORD) -> list[np.ndarray]:
+    """The place of each row of cells (rows, dimensions) on the Hilbert curve, by Skilling's transform: numbers of word bits
+    of each dimension, the highest first."""
     x = cells.astype(np.int64).T.copy()
     n, q = len(x), 1 << (bits - 1)
     while q > 1:
@@ -58,11 +69,14 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
         turn ^= np.where((x[n - 1] & q) != 0, q - 1, 0)
         q >>= 1
     x ^= turn
-    out = np.zeros(x.shape[1], np.int64)
-    for b in range(bits - 1, -1, -1):
-        for i in range(n):
-            out = (out << 1) | ((x[i] >> b) & 1)
-    return out
+    words = []
+    for top in range(bits, 0, -word):
+        out = np.zeros(x.shape[1], np.int64)
+        for b in range(top - 1, max(top - word, 0) - 1, -1):
+            for i in range(n):
+                out = (out << 1) | ((x[i] >> b) & 1)
+        words.append(out)
+    return words
 
 
 def _matrix(column) -> np.ndarray:
@@ -77,9 +91,9 @@ def curves(dim: int, seed: int, sample: np.ndarray, longest: float, n: int = CUR
     for _ in range(n):
         turn = np.linalg.qr(rng.normal(size=(dim + 1, dim + 1)))[0][:, :DIMS]
         at = lifted @ turn
-        wide = np.maximum(at.std(0), 1e-12) * 5.0 / (1 << BITS)
+        spread = np.maximum(at.std(0), 1e-12) * 5.0
         shift = rng.random(turn.shape[1]) * 6 - 3
-        out.append((turn, at.mean(0) + shift * wide, wide))
+        out.append((turn, at.mean(0) + shift * spread / (1 << COARSE), spread / (1 << BITS)))
     return out
 
 
@@ -98,7 +112,7 @@ def _keys(shapes, longest):
             y[role, -1] = 0.0
             for c, (turn, middle, wide) in enumerate(shapes):
                 cell = np.clip(np.floor((y @ turn - middle) / wide) + (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert(cell)), batch.column("is_query"), batch.column("id")], ["curve", "key", "is_query", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), *[pa.array(w) for w in hilbert_words(cell)], batch.column("is_query"), batch.column("id")], ["curve", *KEYS, "is_query", "id"])
 
     return run
 
@@ -171,9 +185,11 @@ def nearest(df: DataFrame, is_query, top: int = TOP, reach: float = REACH, n_cur
     if not len(sample):
         return asked.select("query_id", F.lit(0).alias("rank"), F.col("q").alias("vec_id"), F.lit(0.0).alias("score"))
     shapes = curves(sample.shape[1], seed, sample, known[1], n_curves)
-    keys = materialize(both.mapInArrow(_keys(shapes, known[1]), "curve int, key long, is_query boolean, id long"), "curve-keys")
-    ordered = keys.repartitionByRange(shuffle_partitions(spark), "curve", "key", "id").sortWithinPartitions("curve", "key", "id", "is_query")
-    ordered = materialize(ordered.mapInArrow(_number, "curve int, key long, is_query boolean, id long, part int, at long"), "curve-order")
+    keys = materialize(both.mapInArrow(_keys(shapes, known[1]), f"curve int, {', '.join(f'{k} long' for k in KEYS)}, is_query boolean, id long"), "curve-keys")
+    # Ties of a curve in an order of its own, so that no two curves show a query the same ones.
+    order = ("curve", *KEYS, F.xxhash64("curve", "id"), "id")
+    ordered = keys.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "is_query").select("curve", "is_query", "id")
+    ordered = materialize(ordered.mapInArrow(_number, "curve int, is_query boolean, id long, part int, at long"), "curve-order")
     # One number for each partition.
     before, total = {}, 0
     for p, n in sorted(ordered.groupBy("part").count().collect()):
