@@ -289,3 +289,22 @@ def test_conversation_plans_read_the_scan(spark, duck):
     con.sql("CREATE TEMP TABLE mine AS SELECT * FROM frame")
     want = con.sql(MADE["scored"][2]().replace("FROM conversations", "FROM mine")).fetchall()
     assert rows(mine.collect()) == rows(want)
+
+
+def test_overlapping_spans_are_dropped(spark):
+    both = rules.PII + rules.SECRETS
+    key = "sk-" + "a1B2" * 8
+    texts = [f"openai {key} end", f"token = '{key}' and a.b@c.org", "4111 1111 1111 1111", "postgres://u:p@host.example.com/db a.b@c.org", "call (212) 555-0100 or 192.168.0.1", "plain", "", None]
+    frame = io.texts(spark, texts)
+    found, want = {}, []
+    for r in scanners.scan(frame, rules=both).collect():
+        found.setdefault(r.doc_id, []).append((r.start, [x.name for x in both if x.scanner == r.scanner].index(r.name) + 100 * (r.scanner == "secrets"), r.stop, r.name))
+    for doc, spans in found.items():
+        end = 0
+        for start, _, stop, name in sorted(spans):
+            if start >= end:
+                want.append((doc, start, stop, name))
+                end = stop
+    got = sorted((r.doc_id, r.start, r.stop, r.name) for r in scanners.kept_spans(frame, rules=both).collect())
+    assert got == sorted(want) and len(got) < sum(map(len, found.values()))
+    assert [x for x in got if x[0] == 0] == [(0, 7, 7 + len(key), "API_KEY")] and [x[3] for x in got if x[0] == 1] == ["generic_secret", "EMAIL"]

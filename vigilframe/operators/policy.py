@@ -114,7 +114,7 @@ def j20_consent(d):
 
 @op
 def j22_interval_overlap(d):
-    """Spans of a document's digit runs that start before the last one of another kind ends: here none overlap, so each stays."""
+    """Digit runs of each document. They never overlap; J22 is `scanners.kept_spans`, registered as j22_kept_spans."""
     return f"SELECT doc_id, {d.size(d.all('text', '[0-9]+'))} AS runs FROM {d.t('documents')} WHERE {d.size(d.all('text', '[0-9]+'))} > 0"
 
 

@@ -132,3 +132,12 @@ def blocked_terms(df: DataFrame, terms: DataFrame, text: str = "text", keep: tup
     hit = low.join(terms.select(F.lower("term").alias("term")).distinct(), F.expr("contains(__low, term)"))
     n = (F.length("__low") - F.length(F.replace(F.col("__low"), F.col("term"), F.lit("")))) / F.length("term")
     return hit.select(*keep, "term", n.cast("long").alias("n"))
+
+
+def kept_spans(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The located findings of each text without those that start before the last one kept ends; of those that start
+    together the first in rule order stays. One row for each: keep, scanner, name, risk, start, stop, match."""
+    found = with_findings(df.select(*keep, text), text, rules, heuristics=False)
+    # By start, then by the place in rule order.
+    placed = F.array_sort(F.transform("findings", lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["stop"].alias("stop"), x.alias("x"))))
+    return found.withColumn("findings", pinned(F.transform(without_overlaps(placed), lambda s: s["x"]))).select(*keep, F.inline("findings"))

@@ -129,13 +129,18 @@ def a10_private_counts(spark, sf_dir):
     return privacy.private_counts(_table(spark, sf_dir, "events"), "event_type", 1.0, 7)
 
 
+def j22_kept_spans(spark, sf_dir):
+    """Personal data and secrets of documents, overlapping spans dropped, the earliest staying."""
+    return scanners.kept_spans(_table(spark, sf_dir, "documents"), rules=rules.PII + rules.SECRETS)
+
+
 @with_checkpoints
 def t3_priority_queue(spark, sf_dir):
     """SNK8, T3: places over all events."""
     return usage.priority_queue(_table(spark, sf_dir, "events"))
 
 
-_OWN = (sc9_obfuscation, a10_private_counts, guard_scan, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
+_OWN = (j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
 QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
 # In place of the plan, whose SQL checks it.
