@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -126,6 +127,45 @@ def test_suffix_dedup_edges(spark):
     assert bytes(kept) == text[:10].encode()
 
 
+def test_suffix_dedup_long_texts_in_windows(spark, monkeypatch):
+    """Texts longer than WINDOW are cut into segments window by window; the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 256)
+    rows = corpus(12, 25)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(docs(spark, rows)).collect()}
+    assert got == dedup(rows)
+
+
+@pytest.mark.parametrize("operator", ["jaccard", "suffix"])
+def test_packing_does_not_loop_over_parts(operator):
+    """One flush takes as long for 625,000 parts as for 32, but for the bytes of more rows."""
+    r = random.Random(13)
+    texts = [prose(r, 300) for _ in range(600)]
+    took = {}
+    for parts in (32, 32, 625_000):
+        began = time.perf_counter()
+        if operator == "jaccard":
+            counts = type("Counts", (), {"value": np.zeros(jaccard_join.CELLS, np.uint32)})
+            out = list(jaccard_join._packed(parts, counts)([pa.record_batch([pa.array(texts)], ["text"])]))
+        else:
+            columns = [pa.array(range(600), pa.int64()), pa.array(range(600), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())]
+            out = list(suffix_dedup._packed(parts)([pa.record_batch(columns, ["doc", "tag", "body"])]))
+        took[parts] = time.perf_counter() - began
+        assert all(b.column(0).to_pylist() == sorted(set(b.column(0).to_pylist())) for b in out)
+    assert took[625_000] < 2 * took[32] + 0.5
+
+
+def test_hot_key_is_a_star_before_the_shuffle():
+    """Of a key that more than BIG texts of one task share, one text goes on; the others are spokes of it."""
+    r = random.Random(14)
+    same = prose(r, 400).split(" ")
+    texts = [" ".join([*same[:-1], f"last{i}"]) for i in range(jaccard_join.BIG + 30)]
+    counts = type("Counts", (), {"value": np.zeros(jaccard_join.CELLS, np.uint32)})
+    out = pa.Table.from_batches(list(jaccard_join._packed(4, counts)([pa.record_batch([pa.array(texts)], ["text"])])))
+    spokes = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in out["spokes"].to_pylist()])
+    assert len(np.unique(spokes)) == len(texts)
+    assert sum(len(x) for x in out["low"].to_pylist()) // 4 < len(texts) * 60
+
+
 def test_deep_shallow_finds_equal_suffixes():
     r = random.Random(6)
     data = "".join(r.choice("ab") * r.randint(1, 60) for _ in range(200)).encode()

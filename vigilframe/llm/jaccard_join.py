@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.llm.components import components
-from vigilframe.llm.textcore import mix, shingle_sets
+from vigilframe.llm.textcore import blobs, dealt, mix, shingle_sets
 from vigilframe.llm.util import materialize, shuffle_partitions
 
 BAND = 4
@@ -155,8 +155,12 @@ def _frequencies(measured: DataFrame) -> np.ndarray:
     return out
 
 
+_KEYS = ("p", "high", "low", "who", "names", "sizes", "hot", "spokes")
+
+
 def _packed(parts: int, counts):
-    """Key arrays of many texts, one row for each partition that they go to."""
+    """Key arrays of many texts, one row for each partition that they go to; the keys of more than BIG texts, hot, and
+    pairs of the first of these texts with the others, spokes."""
 
     def flush(keys, ids, names, sizes):
         frame = pd.DataFrame({"k": np.concatenate(keys), "i": np.concatenate(ids)})
@@ -165,17 +169,27 @@ def _packed(parts: int, counts):
         frame["i"] = same[frame["i"].to_numpy()]
         frame = frame.drop_duplicates()
         k, i = frame["k"].to_numpy(), frame["i"].to_numpy()
-        to = (((k & _LOW) * _U(parts)) >> _U(32)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        k, i, to = k[order], i[order], to[order]
-        cuts = np.searchsorted(to, np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                who, mine = np.unique(i[a:b], return_inverse=True)
-                rows.append((p, (k[a:b] >> _U(32)).astype(np.uint16).tobytes(), k[a:b].astype(np.uint32).tobytes(), mine.astype(np.uint32 if len(who) > 65535 else np.uint16).tobytes(), names[who].tobytes(), sizes[who].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 5)], ["p", "high", "low", "who", "names", "sizes"])
+        # A key of more than BIG texts is a star already; only its first text goes on, marked as one of many.
+        order = np.lexsort((i, k))
+        k, i = k[order], i[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        length = np.diff(np.append(start, len(k)))
+        many, lead = np.repeat(length > BIG, length), np.repeat(start, length)
+        rest = many & (lead < np.arange(len(k)))
+        spoke = k[rest], np.stack([names[i[lead[rest]]], names[i[rest]]], 1)
+        hot, k, i = many[~rest], k[~rest], i[~rest]
+
+        def part(key):
+            return (((key & _LOW) * _U(parts)) >> _U(32)).astype(np.int64)
+
+        order, occupied, cuts, mine, who, who_cuts = dealt(part(k), i)
+        k, hot = k[order], hot[order]
+        # Every spoke's key has its first text here, so its part occurs.
+        by = np.argsort(part(spoke[0]), kind="stable")
+        spoke_cuts = np.append(np.searchsorted(part(spoke[0])[by], occupied), len(by))
+        hot_cuts = np.concatenate([[0], np.cumsum(hot)])[cuts]
+        columns = [blobs((k >> _U(32)).astype(np.uint16), cuts), blobs(k.astype(np.uint32), cuts), blobs(mine, cuts), blobs(names[who], who_cuts), blobs(sizes[who].astype(np.uint32), who_cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(occupied, pa.int32()), *columns, blobs(k[hot], hot_cuts), blobs(spoke[1][by], spoke_cuts)], _KEYS)
 
     def run(batches):
         keys, ids, names, sizes, have, seen = [], [], [], [], 0, set()
@@ -218,8 +232,10 @@ def _meet(part):
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.append(start, len(keys)))
     found = []
-    for m in np.unique(length[(length > 1) & (length <= BIG)]).tolist():
-        at = start[length == m]
+    hot = np.isin(keys[start], np.frombuffer(b"".join(part["hot"].to_pylist()), np.uint64))
+    few = (length > 1) & (length <= BIG) & ~hot
+    for m in np.unique(length[few]).tolist():
+        at = start[few & (length == m)]
         x, y = np.triu_indices(m, 1)
         for lo in range(0, len(at), step := max(1, 400_000 // len(x))):
             base = at[lo : lo + step, None]
@@ -227,7 +243,10 @@ def _meet(part):
             na, nb = sizes[base + x].ravel(), sizes[base + y].ravel()
             ok = (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (a != b)
             found.append(pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "big": False}).drop_duplicates())
-    for s, m in zip(start[length > BIG].tolist(), length[length > BIG].tolist()):
+    spokes = np.frombuffer(b"".join(part["spokes"].to_pylist()), np.int64).reshape(-1, 2)
+    if len(spokes):
+        found.append(pd.DataFrame({"a": spokes.min(1), "b": spokes.max(1), "big": True}).drop_duplicates())
+    for s, m in zip(start[(length > 1) & ~few].tolist(), length[(length > 1) & ~few].tolist()):
         who = np.unique(names[s : s + m])
         if len(who) > 1:
             found.append(pd.DataFrame({"a": who[0], "b": who[1:], "big": True}))
@@ -320,7 +339,7 @@ def jaccard_join(df: DataFrame) -> DataFrame:
     parts = max(shuffle_partitions(spark), -(-offered // KEYS_PER_PARTITION))
     counts = spark.sparkContext.broadcast(_frequencies(measured))
 
-    keys = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(_packed(parts, counts), "p int, high binary, low binary, who binary, names binary, sizes binary")
+    keys = docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(_packed(parts, counts), ", ".join(f"{c} {'binary' if k else 'int'}" for k, c in enumerate(_KEYS)))
     met = materialize(keys.groupBy("p").applyInArrow(_meet, _PAIRS), "jaccard-met").groupBy("a", "b").agg(F.max("big").alias("big"))
     met = materialize(met, "jaccard-pairs")
     groups = components(met.filter("big").select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.textcore import mix, pieces, powers, utf8
+from vigilframe.llm.textcore import blobs, dealt, mix, pieces, powers, utf8
 from vigilframe.llm.util import materialize, shuffle_partitions
 
 SPAN = 100
@@ -37,8 +37,9 @@ GRAM = 32
 SHALLOW = 4
 HOT = 4096
 FLUSH = 16 << 20
+WINDOW = 1 << 27
 BYTES_PER_PARTITION = 16 << 20
-_WINDOW = SPAN - GRAM + 1
+_GRAMS = SPAN - GRAM + 1
 _U = np.uint64
 _P = 0xD1342543DE82EF95
 _P_INV = pow(_P, -1, 2**64)
@@ -62,10 +63,10 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     gram = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
     low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
     width = 1
-    while width * 2 <= _WINDOW:
+    while width * 2 <= _GRAMS:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[: len(low) - (_WINDOW - width)], low[_WINDOW - width :])
+    low = np.minimum(low[: len(low) - (_GRAMS - width)], low[_GRAMS - width :])
     starts = np.flatnonzero(starts_ok[: len(low)])
     owner = (low[starts] & _PLACE).astype(np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
@@ -94,8 +95,12 @@ def _packed(parts: int):
         data, offsets, _ = utf8(pa.array([texts[i] for i in order], pa.large_binary()))
         found = []
         for i, j in pieces(offsets):
-            row, *rest = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            found.append((row + i, *rest))
+            # A text longer than WINDOW, which is a piece of its own, goes in windows; a segment that one cuts is two.
+            for lo in range(offsets[i], max(offsets[j] - SPAN + 1, offsets[i] + 1), WINDOW):
+                hi = min(offsets[j], lo + WINDOW + SPAN - 1)
+                inside = np.clip(offsets[i : j + 1] - lo, 0, hi - lo)
+                row, at, *rest = segments(data[lo:hi], inside)
+                found.append((row + i, at + inside[row] + lo - offsets[row + i], *rest))
         who, at, count, place, gram, content = (np.concatenate(x) for x in zip(*found))
         doc, tag = np.array(docs, np.int64)[order], np.array(tags, np.int64)[order]
         # Rows come in the order of doc; within one text by start. So the first of equal segments is the earliest.
@@ -110,18 +115,11 @@ def _packed(parts: int):
         who, at, count, place, gram, content = (x[~later] for x in (who, at, count, place, gram, content))
         # By the hash's low bits: the high ones, being least in their window, are small.
         to = (((gram & _PLACE) * _U(parts)) >> _U(28)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        who, at, count, place, gram, content, to = (x[order] for x in (who, at, count, place, gram, content, to))
-        cuts = np.searchsorted(to, np.arange(parts + 1))
-        packed = []
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            few, mine = np.unique(who[a:b], return_inverse=True)
-            shape = (count[a:b] * 256 + place[a:b]).astype(np.uint16)
-            blobs = gram[a:b], content[a:b], mine.astype(np.uint32 if len(few) > 65535 else np.uint16), at[a:b].astype(np.uint32), shape, np.stack([doc[few], tag[few]]), gone[p::parts]
-            if a < b or len(blobs[-1]):
-                packed.append((p, *(x.tobytes() for x in blobs)))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed), [pa.int32()] + [pa.binary()] * 7)], _PACKED)
+        order, occupied, cuts, mine, few, few_cuts = dealt(to, who)
+        shape = (count[order] * 256 + place[order]).astype(np.uint16)
+        columns = [blobs(x, cuts) for x in (gram[order], content[order], mine, at[order].astype(np.uint32), shape)]
+        columns += [blobs(np.stack([doc[few], tag[few]], 1), few_cuts), blobs(gone, np.arange(len(occupied) + 1) * len(gone) // len(occupied))]
+        return pa.RecordBatch.from_arrays([pa.array(occupied, pa.int32()), *columns], _PACKED)
 
     def run(batches):
         docs, tags, texts, have = [], [], [], 0
@@ -151,7 +149,7 @@ def _meet(part):
     for gram, content, who, at, shape, docs in zip(*(part[c].to_pylist() for c in _PACKED[1:-1])):
         gram = np.frombuffer(gram, np.uint64)
         who = np.frombuffer(who, np.uint16 if len(who) == 2 * len(gram) else np.uint32)
-        doc, tag = np.frombuffer(docs, np.int64).reshape(2, -1)
+        doc, tag = np.frombuffer(docs, np.int64).reshape(-1, 2).T
         columns.append((gram, np.frombuffer(content, np.uint64), doc[who], tag[who], np.frombuffer(at, np.uint32), np.frombuffer(shape, np.uint16)))
     gram, content, doc, tag, at, shape = (np.concatenate(x) for x in zip(*columns))
     # Only minimizers that occur twice matter.

@@ -75,6 +75,27 @@ def pieces(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Rows cuts[k] to cuts[k + 1] of values as the bytes of element k."""
+    raw = np.ascontiguousarray(values)
+    wide = raw.nbytes // len(raw) if len(raw) else 0
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * wide).astype(np.int32)), pa.py_buffer(raw.tobytes())])
+
+
+def dealt(to: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How rows that go to the parts `to` are packed, one row for each part that occurs: the order of the rows, those
+    parts, their cuts in that order, each row's place in its part's list of distinct `who`, and those lists with their
+    cuts. The work depends on the rows alone, whatever the number of parts."""
+    order = np.argsort(to, kind="stable")
+    parts, first, index = np.unique(to[order], return_index=True, return_inverse=True)
+    wide = int(who.max(initial=0)) + 1
+    pairs, place = np.unique(index * wide + who[order], return_inverse=True)
+    few_cuts = np.searchsorted(pairs // wide, np.arange(len(parts) + 1))
+    mine = place - few_cuts[index]
+    mine = mine.astype(np.uint32 if mine.max(initial=0) > 65535 else np.uint16)
+    return order, parts, np.append(first, len(to)), mine, pairs % wide, few_cuts
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, A-Z read as a-z, and the first word's index for each row (one more than rows)."""
     if len(data) == 0:
