@@ -332,16 +332,17 @@ def _cut(with_text: bool):
 
 
 def removed_pieces(docs: DataFrame) -> DataFrame:
-    """doc, tag, start, stop of removed pieces (they may overlap) of docs(doc, tag, body)."""
+    """doc, tag, start, stop of removed pieces (they may overlap) of docs(doc_id, doc, tag, body)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-total // BYTES_PER_PARTITION))
-    packed = docs.mapInArrow(_packed(parts), ", ".join(f"{c} {'binary' if k else 'int'}" for k, c in enumerate(_PACKED)))
+    packed = docs.select("doc", "tag", "body").mapInArrow(_packed(parts), ", ".join(f"{c} {'binary' if k else 'int'}" for k, c in enumerate(_PACKED)))
     met = materialize(packed.groupBy("part").applyInArrow(_meet, _MET), "suffix-met")
     asks = met.filter("gram IS NOT NULL")
     hot = asks.groupBy("gram").count().filter(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
     asks = asks.join(hot, "gram", "left").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "count", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
-    fetched = docs.join(asks, ["doc", "tag"]).select("doc", "tag", "body", "asks").mapInArrow(_fetch(parts), _FETCHED)
+    # The same columns of docs as the last join reads, so that both share one exchange of the texts.
+    fetched = docs.join(asks, ["doc", "tag"]).select("doc_id", "doc", "tag", "body", "asks").mapInArrow(_fetch(parts), _FETCHED)
     sorted_ = fetched.groupBy("part").applyInArrow(_sort, _REMOVED)
     return met.filter("stop IS NOT NULL").select("doc", "tag", "start", "stop").unionByName(sorted_)
 
@@ -351,6 +352,6 @@ def suffix_dedup(df: DataFrame, with_text: bool = False) -> DataFrame:
     bytes, kept (they need not be valid UTF-8, as strings are cut bytewise)."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("body").alias("tag"), "body")
-    removed = removed_pieces(docs.select("doc", "tag", "body")).groupBy("doc", "tag").agg(F.collect_list(F.col("start") * F.lit(1 << 32) + F.col("stop")).alias("removed"))
+    removed = removed_pieces(docs).groupBy("doc", "tag").agg(F.collect_list(F.col("start") * F.lit(1 << 32) + F.col("stop")).alias("removed"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return docs.join(removed, ["doc", "tag"], "left").select("doc_id", "body", "removed").mapInArrow(_cut(with_text), schema)
