@@ -181,7 +181,7 @@ def test_deep_shallow_finds_equal_suffixes():
 
 def test_token_counts(spark):
     rows = [(1, "hello world"), (2, "hello world"), (3, None), (4, ""), (5, "<|endoftext|> été"), (6, "word " * 3000), (6, "word " * 3000)]
-    lengths = token_counts.lengths([t for _, t in rows]).tolist()
+    lengths = token_counts.lengths([t for _, t in rows], token_counts.read()).tolist()
     got = token_counts.token_counts(docs(spark, rows)).collect()
     assert {r.n_tokens for r in got} == set(lengths) and lengths[0] == 2
     for r in got:

@@ -13,12 +13,15 @@ special tokens are ordinary text; an empty table gives an empty histogram. Other
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.llm.util import materialize
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary's tokenizer cuts text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,29 +29,36 @@ BAND = 1024
 _LOADED: dict = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """The encoder, loaded once in each process."""
-    if (vocabulary, pattern) not in _LOADED:
+def read(vocabulary: str = VOCABULARY) -> bytes:
+    with open(vocabulary, "rb") as f:
+        return f.read()
+
+
+def encoder(raw: bytes, pattern: str = PATTERN):
+    """The encoder of a vocabulary file's bytes, built once in each process."""
+    key = hashlib.blake2b(raw).digest(), pattern
+    if key not in _LOADED:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[vocabulary, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _LOADED[vocabulary, pattern]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _LOADED[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[key]
 
 
-def lengths(texts: list, vocabulary: str = VOCABULARY) -> np.ndarray:
-    encode = encoder(vocabulary).encode_ordinary
+def lengths(texts: list, raw: bytes) -> np.ndarray:
+    encode = encoder(raw).encode_ordinary
     return np.array([len(encode(t)) if t else 0 for t in texts], np.int64)
 
 
 def histogram(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """n_tokens, n_docs: how many texts have each encoded length."""
+    """n_tokens, n_docs: how many texts have each encoded length. The driver reads the vocabulary, a file of about a
+    megabyte whatever the input, and broadcasts it: executors need not have it."""
+    raw = df.sparkSession.sparkContext.broadcast(read(vocabulary))
 
     def count(batches):
         for batch in batches:
             if batch.num_rows:
-                values, n = np.unique(lengths(batch.column(0).to_pylist(), vocabulary), return_counts=True)
+                values, n = np.unique(lengths(batch.column(0).to_pylist(), raw.value), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["n_tokens", "n"])
 
     rows = df.select(text).mapInArrow(count, "n_tokens long, n long")
@@ -90,4 +100,5 @@ def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def token_counts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    return suffix_sums(histogram(df, text, vocabulary))
+    # Written once: the sums read it twice, and each reading would encode every text.
+    return suffix_sums(materialize(histogram(df, text, vocabulary), "token-histogram"))
