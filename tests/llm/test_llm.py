@@ -246,6 +246,78 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def least_cost(lengths, capacities=packing.CAPACITIES):
+    """The least cost of bins that hold the lengths, over all ways to put them into bins."""
+    best = [float("inf")]
+
+    def put(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(packing.cost(min(c for c in capacities if c >= b)) for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= max(capacities):
+                put(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        put(k + 1, [*bins, lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_against_all_ways():
+    r = np.random.default_rng(15)
+    ratios = []
+    for _ in range(60):
+        lengths = np.sort(r.integers(1, r.choice([600, 1500, 4097]), 7))[::-1].copy()
+        capacity = packing.best_fit(lengths)[2]
+        ratios.append(sum(packing.cost(c) for c in capacity.tolist()) / least_cost(lengths.tolist()))
+    assert min(ratios) >= 1 and np.mean(ratios) < 1.06 and max(ratios) < 1.35, (np.mean(ratios), max(ratios))
+
+
+def test_packing_chooses_lengths_jointly():
+    """All permitted lengths are opened; padding and cost are below those of bins of one length."""
+    r = np.random.default_rng(16)
+    lengths = np.sort(np.clip(r.lognormal(5.5, 1.2, 3000).astype(int), 1, 4096))[::-1].copy()
+    _, _, capacity, used, opened = packing.best_fit(lengths)
+    assert set(opened.tolist()) == set(packing.CAPACITIES) and (np.bincount(opened)[[1024, 2048, 4096]] > 20).all()
+    _, _, one, one_used, _ = packing.best_fit(lengths, (4096,))
+    assert capacity.sum() - used.sum() < one.sum() - one_used.sum()
+    assert sum(map(packing.cost, capacity.tolist())) < 0.95 * sum(map(packing.cost, one.tolist()))
+
+
+def test_packing_ties(spark):
+    rows = [(i, "a b c") for i in (3, 1, 2, None)]
+    got = sorted((x.bin_offset, x.doc_id) for x in packing.pack(docs(spark, rows)).collect())
+    assert got == [(0, None), (3, 1), (6, 2), (9, 3)]
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(i, f"t{i}") for i in range(300)] + [(None, "n"), (7, "again")]
+    frame = docs(spark, rows).withColumn("Shard", F.lit("own")).withColumn("slot", F.lit(1)).withColumn("__shard_key", F.lit(2))
+    sharding.write_shards(frame, str(tmp_path / "out"), files_per_shard=2)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert set(got.columns) == {*docs(spark, []).columns, "shard_of_row", "slot", "__shard_key", "shard"}
+    want = {r.doc_id: r.shard for r in sharding.place(docs(spark, rows)).collect()}
+    assert sorted((r.doc_id or -1, r.text, r.shard) for r in got.collect()) == sorted((d or -1, t, want[d]) for d, t in rows)
+    sharding.write_shards(docs(spark, []), str(tmp_path / "none"))
+
+
+def slow_fill(shards, slots):
+    """The table by walking every shard's whole permutation, one claim a turn."""
+    order = {s: [(sharding._number(s, "offset") + k * (sharding._number(s, "step") % (slots - 1) + 1)) % slots for k in range(slots)] for s in shards}
+    table = {}
+    while len(table) < slots:
+        for i, s in enumerate(shards):
+            free = [x for x in order[s] if x not in table]
+            if free:
+                table[free[0]] = i
+    return [table[k] for k in range(slots)]
+
+
+def test_sharding_table_by_brute_force():
+    for shards, slots in ((("a", "b", "c"), 31), (tuple("abcdefg"), 101), (("only",), 7)):
+        assert sharding.fill(shards, slots).tolist() == slow_fill(shards, slots)
+
+
 def test_sharding(spark):
     full = sharding.fill()
     share = np.bincount(full)
@@ -287,6 +359,29 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [])).count() == 0
 
 
+def test_mixing_in_levels(spark, monkeypatch):
+    """Blocks so small that what they leave open fills blocks again, several times."""
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    r = random.Random(18)
+    rows = [(i, prose(r, r.randint(1, 60)), r.choice(["a", "a", "a", "b"])) for i in range(700)]
+    taken, sizes = defaultdict(int), defaultdict(int)
+    source = {d: s for d, _, s in rows}
+    for x in mixing.mix(docs(spark, rows)).collect():
+        taken[source[x.doc_id]] += x.taken
+        sizes[source[x.doc_id]] += x.size
+        assert x.taken <= 3 * x.size
+    want = targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 5 for s in sizes), (taken, want)
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(19)
+    sizes = {f"host{i}": r.choice([0, 1, 7, 50, 1000, 100_000]) for i in range(500)} | {None: 30, "": 4, "Ä": 9}
+    frame = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {x.source: x.target for x in mixing.targets(frame).collect()}
+    assert got == pytest.approx(targets(sizes))
+
+
 def test_flight_keeps_totals():
     r = np.random.default_rng(9)
     sizes, share = r.integers(1, 500, 1000), r.random(1000)

@@ -6,8 +6,9 @@ sources ordered by cap / weight. Within a source every document wants r = target
 floor(r) copies, and the cube method decides which take one more. The flight phase moves the fractional inclusion
 probabilities of three documents at a time along the one direction that changes neither the expected number of documents
 nor the expected number of words, until one of them is 0 or 1. It runs in blocks of about BLOCK documents of one source;
-each block leaves at most two undecided, and these meet in a second flight for each source. RESERVE documents of spread
-sizes wait out the flights; the landing decides them and the last two by the smallest error. A block has three documents
+each block leaves at most two undecided. These fly again in blocks, level after level, until what a source has left is one
+block. RESERVE documents of spread sizes wait out the flights; the landing, one block for each source, decides them and the
+last two by the smallest error. A block has three documents
 in flight at any time, and random numbers are seeded by source rank and block: reruns agree.
 
 Defined results: null texts, and texts without words, have size 0 and take 0 words; a source whose size is 0 has target 0;
@@ -17,12 +18,16 @@ number of copies nearest its target. Other columns are never read. An empty tabl
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigilframe.llm.util import materialize, n_words
+from vigilframe.llm.util import materialize, n_words, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -32,24 +37,55 @@ EPS = 1e-9
 #: against an error of as many words.
 RESERVE = 14
 DOCS_WEIGHT = 0.02
-_FIELDS = "doc_id long, tag long, size long, source_size long, target double, rank int, copies int, share double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("size", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("rank", pa.int32()), ("copies", pa.int32()), ("share", pa.float64())])
+_FIELDS = "doc_id long, tag long, size long, source_size long, target double, rank long, copies int, share double, block long, blocks long, held boolean"
+_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+
+
+def _running(df: DataFrame, order: tuple, sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with nth (from 1) and, for each column of sums, its total over the rows before, as before_<column>, in the given
+    order. Ranges of the order are numbered on their own; only one row for each partition comes to the driver."""
+    spark = df.sparkSession
+
+    def number(batches):
+        part, n, so_far = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0.0)
+        for batch in batches:
+            batch = batch.append_column("__part", pa.array(np.full(batch.num_rows, part, np.int64)))
+            batch = batch.append_column("nth", pa.array(np.arange(n + 1, n + 1 + batch.num_rows)))
+            n += batch.num_rows
+            for c in sums:
+                total = so_far[c] + np.cumsum(batch.column(c).to_numpy())
+                batch = batch.append_column(f"before_{c}", pa.array(total - batch.column(c).to_numpy()))
+                so_far[c] = float(total[-1]) if len(total) else so_far[c]
+            yield batch
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in ("__part", "nth")), *(T.StructField(f"before_{c}", T.DoubleType()) for c in sums)])
+    out = materialize(df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(number, schema), "mix-running")
+    before, rows = np.zeros(1 + len(sums)), []
+    for r in sorted(out.groupBy("__part").agg(F.count(F.lit(1)), *[F.sum(c) for c in sums]).collect()):
+        rows.append((r[0], int(before[0]), *map(float, before[1:])))
+        before += np.array(r[1:], float)
+    parts = spark.createDataFrame(rows, ", ".join(["__p long", "__n long", *(f"__b{k} double" for k in range(len(sums)))]))
+    out = out.join(F.broadcast(parts), F.col("__part") == F.col("__p")).withColumn("nth", F.col("nth") + F.col("__n"))
+    for k, c in enumerate(sums):
+        out = out.withColumn(f"before_{c}", F.col(f"before_{c}") + F.col(f"__b{k}"))
+    return out.select(*df.columns, "nth", *[f"before_{c}" for c in sums])
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, rank, n_docs, source_size and target of each source in sizes(source, size). One row for each source goes
-    through the windows, never a document."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    every = Window.partitionBy()
-    per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    per = per.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights)).cast("double"))
+    """source, rank, n_docs, source_size and target of each source in sizes(source, size). Sources are ordered, by name and
+    by where their cap is reached, in ranges, so that hosts or users may be the sources as well."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")).withColumn("unnamed", F.col("source").isNull())
+    per = _running(per, ("unnamed", "source")).drop("unnamed").withColumnRenamed("nth", "rank")
+    per = per.withColumn("weight", F.get(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights)).cast("int")).cast("double"))
     per = per.withColumn("cap", (most * F.col("source_size")).cast("double")).withColumn("level", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("level", "rank")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    per = per.withColumn("water", (F.sum("source_size").over(every) - before) / after)
-    per = per.withColumn("water", F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "rank", "water"))).over(every)["water"])
-    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))))
+    per = _running(per, ("level", "rank"), ("cap", "weight"))
+    every = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    size, weight = float(every[0] or 0), float(every[1] or 0)
+    # The water's height if all sources before are full and all others share the rest; the first that holds is it.
+    height = (F.lit(size) - F.col("before_cap")) / (F.lit(weight) - F.col("before_weight"))
+    first = per.withColumn("water", height).filter("water <= level").agg(F.min(F.struct("level", "rank", "water"))).first()[0]
+    water = F.lit(None if first is None else first["water"]).cast("double")
+    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least("cap", F.coalesce(water * F.col("weight"), F.col("cap"))))
     return per.select("source", "rank", "n_docs", "source_size", target.alias("target"))
 
 
@@ -104,20 +140,24 @@ def _land(sizes: np.ndarray, share: np.ndarray) -> np.ndarray:
     return share
 
 
-def _decide(part: pa.Table, seed: int, level: int, block: int) -> pa.Table:
+def _decide(part: pa.Table, seed: int, level: int, block: int, last: bool) -> pa.Table:
     size, ids, tag = (part[c].fill_null(-1).to_numpy() for c in ("size", "doc_id", "tag"))
     part = part.take(pa.array(np.lexsort((tag, ids, -size))))
     sizes, rank = part["size"].to_numpy(), part["rank"][0].as_py()
     share = part["share"].to_numpy().copy()
-    held = _held(share) if level or block == 0 else np.zeros(0, np.int64)
+    held = np.flatnonzero(part["held"].to_numpy())
+    if last or (level == 0 and block == 0):
+        held = _held(share)
     flown = np.setdiff1d(np.arange(len(share)), held)
     share[flown] = _flight(sizes[flown], share[flown], [seed, level, rank, block])
-    if level:
+    if last:
         share = _land(sizes, share)
     whole = (share == 0) | (share == 1)
     copies = part["copies"].to_numpy() + np.where(whole, share, 0).astype(np.int32)
-    left = pa.array(np.where(whole, np.nan, share), mask=whole)
-    return part.select(_ARROW.names).set_column(6, "copies", pa.array(copies, pa.int32())).set_column(7, "share", left).cast(_ARROW)
+    waits = np.zeros(len(share), bool)
+    waits[held] = True
+    new = {"copies": pa.array(copies, pa.int32()), "share": pa.array(np.where(whole, np.nan, share), mask=whole), "held": pa.array(waits)}
+    return pa.table([new.get(c, part[c]) for c in _NAMES], _NAMES)
 
 
 def mix(df: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
@@ -130,19 +170,26 @@ def mix(df: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> Dat
     # Whether the source table is broadcast is left to its measured size at run time.
     docs = docs.join(t, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("ratio", ratio)
     whole = F.floor(F.col("ratio") + EPS)
-    block = F.pmod(F.xxhash64("doc_id", "tag"), F.ceil(F.col("n_docs") / BLOCK)).cast("int")
-    docs = docs.select("doc_id", "tag", "size", "source_size", "target", "rank", whole.cast("int").alias("copies"), F.greatest(F.lit(0.0), F.col("ratio") - whole).alias("share"), block.alias("block"))
-
-    def fly(key, part):
-        return _decide(part, seed, 0, key[1].as_py())
-
-    def land(key, part):
-        return _decide(part, seed, 1, 0)
-
-    flown = materialize(docs.groupBy("rank", "block").applyInArrow(fly, _FIELDS), "mix-flight")
-    landed = flown.filter("share IS NOT NULL").groupBy("rank").applyInArrow(land, _FIELDS)
-    done = flown.filter("share IS NULL").unionByName(landed)
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "tag")
+    docs = docs.withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.col("blocks")))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "tag", "size", "source_size", "target", "rank", whole.cast("int").alias("copies"),
+        F.greatest(F.lit(0.0), F.col("ratio") - whole).alias("share"), "block", "blocks", F.lit(False).alias("held"),
+    )
+
+    def flight(rows, level, last=False):
+        return rows.groupBy("rank", "block").applyInArrow(lambda key, part: _decide(part, seed, level, key[1].as_py(), last), _FIELDS)
+
+    flown = materialize(flight(docs, 0), "mix-flight")
+    n_blocks, level, done = flown.agg(F.max("blocks")).first()[0] or 1, 1, [flown.filter("share IS NULL")]
+    fewer = F.ceil(F.col("blocks") / (BLOCK // 2))
+    while n_blocks > BLOCK // 2:
+        left = flown.filter("share IS NOT NULL").withColumn("block", F.pmod("block", fewer)).withColumn("blocks", fewer)
+        flown = materialize(flight(left, level), "mix-flight")
+        done.append(flown.filter("share IS NULL"))
+        n_blocks, level = -(-n_blocks // (BLOCK // 2)), level + 1
+    done.append(flight(flown.filter("share IS NOT NULL").withColumn("block", F.lit(0).cast("long")), level, last=True))
+    out = functools.reduce(DataFrame.unionByName, done)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "tag")
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:

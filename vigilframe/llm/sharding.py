@@ -55,9 +55,22 @@ def place(df: DataFrame, key: str = "doc_id", shards=SHARDS, slots: int = SLOTS)
     return out.join(F.broadcast(lookup), F.col("slot") == F.col(p + "at")).select(key, "slot", "shard")
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards=SHARDS, files_per_shard: int = 1) -> None:
-    """Write df as one folder for each shard, of about files_per_shard files."""
-    lookup = place(df.select(key).distinct(), key, shards).select(F.col(key).alias("__shard_key"), "shard")
-    out = df.join(lookup, F.col(key).eqNullSafe(F.col("__shard_key"))).drop("__shard_key")
-    salt = F.pmod(F.xxhash64(key), F.lit(files_per_shard))
-    out.repartition(len(shards) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards=SHARDS, slots: int = SLOTS, files_per_shard: int = 1) -> None:
+    """Write df as one folder shard=... for each shard, of about files_per_shard files. Rows with a null key all go to one
+    shard. The folder's name is the shard; a column of df's own called shard, whatever its case, is written as
+    shard_of_row, and so is every further column that would clash, with one more underscore each."""
+    p, taken = "__shard_", {c.lower() for c in df.columns}
+    own = df
+    for c in df.columns:
+        if c.lower() == "shard":
+            new = "shard_of_row"
+            while new in taken:
+                new += "_"
+            taken.add(new)
+            own, key = own.withColumnRenamed(c, new), new if c == key else key
+    lookup = pd.DataFrame({p + "at": np.arange(slots, dtype=np.int64), p + "name": np.array(shards)[fill(shards, slots)]})
+    lookup = df.sparkSession.createDataFrame(lookup)
+    out = own.withColumn(p + "slot", F.pmod(F.xxhash64(key), F.lit(slots))).join(F.broadcast(lookup), F.col(p + "slot") == F.col(p + "at"))
+    salt = F.pmod(F.xxhash64(F.lit("file"), key), F.lit(files_per_shard))
+    out = out.repartition(len(shards) * files_per_shard, p + "name", salt).drop(p + "slot", p + "at")
+    out.withColumnRenamed(p + "name", "shard").write.partitionBy("shard").parquet(path)
