@@ -201,26 +201,54 @@ def test_quotation_links(spark):
         (2, 0, "user", ">Use sorted().\nother"), (2, 0, "user", ">Use sorted().\nother"), (2, 1, None, None), (None, 3, "user", "> Thanks\nx"), (3, 0, "user", "Thanks"), (3, 1, "user", "> > >\n> !!"),
     ]
     frame = spark.createDataFrame([(*r, 1, "q") for r in rows], "conv_id long, turn long, role string, text string, level int, h string")
-    got = [(r.conv_id, r.thread, r.body, r.reply_turn, r.far_conv, r.far_turn, r.n_quotes, r.n_linked) for r in quotation_links.format_chats(frame).collect()]
+    got = [(r.conv_id, [r.thread, r.depth, r.place], r.body, r.reply_turn, r.far_conv, r.far_turn, r.n_quotes, r.n_linked) for r in quotation_links.format_chats(frame).collect()]
     assert got == [
-        (None, [3], "x", None, None, None, 0, 0), (1, [0], "Hello there.\n\nHow do I sort a list?", None, None, None, 0, 0), (1, [0, 1], "Use sorted().", 0, None, None, 1, 1),
-        (1, [0, 1, 3], "Indeed.", 1, None, None, 2, 2), (1, [0, 4], "hi again", 0, None, None, 1, 1), (1, [2], "Thanks", None, None, None, 0, 0), (1, [5], "what", None, None, None, 1, 0),
-        (2, [0], "other", None, 1, 1, 1, 1), (2, [1], "", None, None, None, 0, 0), (3, [0], "Thanks", None, None, None, 0, 0), (3, [1], "", None, None, None, 0, 0),
+        (None, [3, 0, 0], "x", None, None, None, 0, 0), (1, [0, 0, 0], "Hello there.\n\nHow do I sort a list?", None, None, None, 0, 0), (1, [0, 1, 1], "Use sorted().", 0, None, None, 1, 1),
+        (1, [0, 2, 2], "Indeed.", 1, None, None, 2, 2), (1, [0, 1, 3], "hi again", 0, None, None, 1, 1), (1, [2, 0, 0], "Thanks", None, None, None, 0, 0), (1, [5, 0, 0], "what", None, None, None, 1, 0),
+        (2, [0, 0, 0], "other", None, 1, 1, 1, 1), (2, [1, 0, 0], "", None, None, None, 0, 0), (3, [0, 0, 0], "Thanks", None, None, None, 0, 0), (3, [1, 0, 0], "", None, None, None, 0, 0),
     ]
     assert quotation_links.format_chats(frame.limit(0)).count() == 0
+    compare_chats(frame)
+
+
+CHAT = ("conv_id", "thread", "depth", "place", "turn", "role", "body", "reply_turn", "far_conv", "far_turn", "n_quotes", "n_linked", "chat")
+
+
+def compare_chats(frame):
     import duckdb
 
     con = duckdb.connect()
     con.register("conversations", frame.toPandas().astype({"conv_id": "Int64"}))
-    want = con.sql(f"SELECT conv_id, thread, body, reply_turn, far_conv, far_turn, n_quotes, n_linked, chat FROM ({quotation_links.SQL}) x").fetchall()
-    rows = [tuple(r[c] for c in ("conv_id", "thread", "body", "reply_turn", "far_conv", "far_turn", "n_quotes", "n_linked", "chat")) for r in quotation_links.format_chats(frame).collect()]
+    want = con.sql(f"SELECT {', '.join(CHAT)} FROM ({quotation_links.SQL}) x").fetchall()
+    rows = [tuple(r[c] for c in CHAT) for r in quotation_links.format_chats(frame).collect()]
     assert sorted(map(repr, want)) == sorted(map(repr, rows))
 
 
+def test_quotations_against_sql(spark):
+    """Conversations at random in which most messages quote others, at several levels, with copies and strange turns."""
+    r = random.Random(21)
+    rows = []
+    for c in range(25):
+        said = []
+        for turn in sorted(r.sample(range(-3, 60), r.randint(1, 30))):
+            quotes = [r.choice(said[-5:] + [prose(r, 4)] if r.random() < 0.9 or not rows else [r.choice(rows)[3].split("\n")[-1]]) for _ in range(r.randint(0, 2))] if said else []
+            own = prose(r, r.randint(1, 5))
+            rows.append((c, turn, r.choice(["user", "assistant"]), "\n\n".join([">" * r.choice([1, 1, 1, 2]) + " " + q for q in quotes] + [own])))
+            said.append(own)
+            if r.random() < 0.1:
+                rows.append((c, turn, "user", "> " + r.choice(said) + "\nanother under this turn"))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert quotation_links.format_chats(frame).filter("depth > 2").count() > 10
+    compare_chats(frame)
+
+
 def test_long_threads(spark):
-    rows = [(1, i, "user", f"> message {i - 1}\nmessage {i}" if i else "message 0") for i in range(40)]
+    """A chain of answers, and a message with very many of them; each message stays one row of fixed size."""
+    n = 700
+    rows = [(1, i, "user", f"> message {i - 1}\nmessage {i}" if i else "message 0") for i in range(n)]
+    rows += [(2, i, "user", f"> start\nanswer {i}" if i else "start") for i in range(n)]
     got = quotation_links.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert [r.thread for r in got] == [list(range(i + 1)) for i in range(40)]
+    assert [(r.conv_id, r.thread, r.depth, r.place, r.turn) for r in got] == [(1, 0, i, i, i) for i in range(n)] + [(2, 0, min(i, 1), i, i) for i in range(n)]
 
 
 def test_packing(spark):
@@ -491,6 +519,19 @@ def test_neighbours(spark):
     assert curve_neighbours.nearest(few.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_with_queries_in_parts(spark, monkeypatch):
+    """A group's queries cut into several parts, and wide groups: the same result."""
+    r = np.random.default_rng(22)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(1500, 8)))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(curve_neighbours, "BLOCK", 32)
+    search = lambda: sorted(map(tuple, curve_neighbours.nearest(frame, F.col("id") % 3 == 0, top=5, reach=0.2).collect()))
+    want = search()
+    monkeypatch.setattr(curve_neighbours, "QUERIES", 40)
+    monkeypatch.setattr(curve_neighbours, "GROUP_MOST", 4)
+    monkeypatch.setattr(curve_neighbours, "GROUP_LEAST", 2)
+    assert search() == want and len(want) == 2500
+
+
 def test_hilbert_is_a_curve():
     """Neighbours on the curve are neighbours in the grid, and every cell has its own place."""
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)

@@ -6,6 +6,9 @@ words of WORD bits a dimension, is the key. So fine a grid orders near copies to
 deviation wide, and a curve orders what is left in one cell by a hash of its own. Spark range-partitions the keys of a curve,
 which gives every row its rank; a query is compared with all rows of its block of BLOCK ranks and of the blocks within
 REACH of all ranks on either side. What the curves find is merged and ranked by exact inner products in double precision.
+The comparison is dealt in groups of neighbouring blocks (more of them together where a window is wide, GROUP_MOST at most);
+the queries that meet in a group are cut into parts of about QUERIES, each with its own copy of the group's rows. So a task
+holds GROUP_MOST * BLOCK rows and about QUERIES queries at once, whatever the table, and groups without a query are left out.
 
 For inner products, vectors of unequal length get one more coordinate, sqrt(M^2 - |x|^2), M being the largest length, and
 queries get 0 there: the nearest then have the largest inner product. The shift and scale of the grid are fitted on the
@@ -37,7 +40,8 @@ BITS = 28
 WORD = 7
 COARSE = 6
 BLOCK = 512
-BLOCKS_PER_GROUP = 16
+GROUP_LEAST, GROUP_MOST = 16, 64
+QUERIES = 4096
 REACH = 0.028
 SAMPLE = 4096
 TOP = 20
@@ -134,8 +138,9 @@ def _best(top: int, reach: int):
         if len(q) and len(d):
             x = _matrix(part["v"])
             d = d[np.argsort(block[d], kind="stable")]
-            for lo in range(0, len(q), 256):
-                mine = q[lo : lo + 256]
+            at_once = max(16, (1 << 21) // len(d))
+            for lo in range(0, len(q), at_once):
+                mine = q[lo : lo + at_once]
                 near = np.abs(block[mine][:, None] - block[d][None, :]) <= reach
                 score = np.where(near, x[mine] @ x[d].T, -np.inf)
                 k = min(top, len(d)) - 1
@@ -194,15 +199,24 @@ def nearest(df: DataFrame, is_query, top: int = TOP, reach: float = REACH, n_cur
     before, total = {}, 0
     for p, n in sorted(ordered.groupBy("part").count().collect()):
         before[p], total = total, total + n
-    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")]
-    block = F.floor((offset + F.col("at")) / BLOCK)
+    offsets = spark.createDataFrame(list(before.items()), "part int, before long")
+    block = F.floor((F.col("before") + F.col("at")) / BLOCK)
     around = -(-int(np.ceil(reach * known[0])) // BLOCK)
-    placed = ordered.select("curve", "is_query", "id", block.alias("block"))
-    group = lambda b: F.floor(b / BLOCKS_PER_GROUP)
-    spread = F.when(F.col("is_query"), F.sequence(group(F.col("block") - around), group(F.col("block") + around))).otherwise(F.array(group(F.col("block"))))
-    placed = placed.withColumn("part", F.explode(spread)).join(both, ["id", "is_query"])
-    found = placed.groupBy("curve", "part").applyInArrow(_best(top + 1, around), "q long, c long, score double")
-    found = found.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("nth") <= top + 1)
+    placed = ordered.join(F.broadcast(offsets), "part").select("curve", "is_query", "id", block.alias("block"))
+    wide = min(GROUP_MOST, max(GROUP_LEAST, around))
+    group = lambda b: F.floor(b / wide)
+    asks = placed.filter("is_query").withColumn("part", F.explode(F.sequence(group(F.col("block") - around), group(F.col("block") + around))))
+    # Queries of each group and the parts that they are cut into: one row for each group.
+    cuts = asks.groupBy("curve", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("cuts"))
+    cuts = materialize(cuts, "curve-groups")
+    asks = asks.join(cuts, ["curve", "part"]).withColumn("cut", F.pmod(F.xxhash64("id", "curve"), F.col("cuts")).cast("int"))
+    rows_of = placed.filter("NOT is_query").withColumn("part", group(F.col("block"))).join(cuts, ["curve", "part"])
+    rows_of = rows_of.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    columns = ("curve", "part", "cut", "is_query", "id", "block")
+    meeting = asks.select(*columns).unionByName(rows_of.select(*columns)).join(both, ["id", "is_query"])
+    found = meeting.groupBy("curve", "part", "cut").applyInArrow(_best(top + 1, around), "q long, c long, score double")
+    # One exchange by query serves the distinct rows and their ranks.
+    found = found.repartition(shuffle_partitions(spark), "q").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("nth") <= top + 1)
     # Back from distinct vectors to rows.
     of = members.select("id", "h", "v")
     first = index.select(F.col("id").alias("c"), "h", "v")
