@@ -84,30 +84,3 @@ def sc32_rule_enforcement(d):
     """SC32: calls against blocked tools and patterns; a warning doesn't block."""
     return f"""SELECT e.event_id, count(CASE WHEN r.kind = 'block' THEN 1 END) AS violations, count(CASE WHEN r.kind = 'warn' THEN 1 END) AS warnings, count(CASE WHEN r.kind = 'block' THEN 1 END) = 0 AS allowed
         FROM {d.t('events')} e JOIN (VALUES ('block', 'LOGOUT', 90.0), ('warn', 'click', 50.0), ('block', 'purchase', 95.0)) AS r(kind, tool, least_value) ON lower(r.tool) = e.event_type AND e.value > r.least_value GROUP BY e.event_id"""
-
-
-@op
-def sc39_injection_vectors(d):
-    """SC39: 0.6 of the strongest vector and 0.4 of the mean of those that speak."""
-    v = {"symbols": ("0.7", f"{d.rxn('text', '[#*$%&|<>]')} > 5"), "shouting": ("0.5", d.rx("text", "[A-Z]{6,}")), "length": ("0.4", "length(text) > 6000")}
-    cols = ", ".join(f"CASE WHEN {c} THEN {w} ELSE 0.0 END AS {k}" for k, (w, c) in v.items())
-    return f"""SELECT doc_id, 0.6 * greatest(symbols, shouting, length_) + 0.4 * (symbols + shouting + length_) / greatest(1, CASE WHEN symbols > 0 THEN 1 ELSE 0 END + CASE WHEN shouting > 0 THEN 1 ELSE 0 END + CASE WHEN length_ > 0 THEN 1 ELSE 0 END) AS score
-        FROM (SELECT doc_id, {cols.replace('AS length', 'AS length_')} FROM {d.t('documents')}) x"""
-
-
-@op
-def sc41_bias(d):
-    """SC41: the first match of each pattern; the worst decides."""
-    return f"SELECT doc_id, {d.get('lower(text)', '(worthless|idiot|clown)')} AS first_match, CASE WHEN {d.rx('lower(text)', 'worthless')} THEN 3 WHEN {d.rx('lower(text)', 'idiot|clown')} THEN 2 ELSE 0 END AS severity FROM {d.t('documents')} WHERE {d.rx('lower(text)', 'worthless|idiot|clown')}"
-
-
-@op
-def sc45_response_class(d):
-    """SC45, SC46: empty, short, refusing or substantive answers, the first that fits."""
-    return f"""SELECT conv_id, turn, CASE WHEN {d.size(d.all('text', '[^ ]+'))} < 2 THEN 'EMPTY' WHEN {d.rx('lower(text)', 'not|cannot')} THEN 'REFUSAL' WHEN length(text) < 80 THEN 'SHORT' ELSE 'SAFE' END AS class FROM {d.t('conversations')} WHERE role = 'assistant'"""
-
-
-@op
-def sc52_fingerprint(d):
-    """SC52, SC53: weighted markers of each style, unknown below a tenth."""
-    return f"""SELECT doc_id, CASE WHEN greatest(a, b) < 0.1 THEN 'unknown' WHEN a >= b THEN 'plain' ELSE 'marked' END AS style FROM (SELECT doc_id, least(1.0, 0.02 * {d.rxn('text', '[.]')}) AS a, least(1.0, 0.05 * {d.rxn('text', '[#*$%&|<>!]')}) AS b FROM {d.t('documents')}) x"""

@@ -187,39 +187,10 @@ def sc19_blocked_terms(d):
     return f"""SELECT doc_id, b.term, CAST((length(text) - length(replace(lower(text), b.term, ''))) / length(b.term) AS BIGINT) AS n FROM {d.t('documents')} JOIN (VALUES ('license'), ('idiot'), ('token =')) AS b(term) ON contains(lower(text), b.term)"""
 
 
-@op
-def sc36_prompt_shield(d):
-    """SC36-SC38: layers of signals, each with a weight; blocked from 0.5."""
-    s = f"least(1.0, 0.4 * (CASE WHEN {d.rx('lower(text)', 'ignore|bypass|override')} THEN 1 ELSE 0 END) + 0.3 * (CASE WHEN {d.rxn('text', '[#*$%&|<>]')} > 20 THEN 1 ELSE 0 END) + 0.3 * (CASE WHEN length(text) > 10000 THEN 1 ELSE 0 END))"
-    return f"SELECT doc_id, {s} AS score, {s} >= 0.5 AS blocked FROM {d.t('documents')}"
-
-
-@op
-def sc42_content_filter(d):
-    """SC42, SC43: each category's score grows by 0.1 with every further match, 1 at most."""
-    cats = {"insult": ("0.5", "idiot|clown|worthless"), "secret": ("0.7", "token|password"), "licence": ("0.2", "license|copyright")}
-    cols = ", ".join(f"CASE WHEN {d.rxn('lower(text)', p)} > 0 THEN least(1.0, {w} + 0.1 * ({d.rxn('lower(text)', p)} - 1)) ELSE 0.0 END AS {k}" for k, (w, p) in cats.items())
-    return f"SELECT doc_id, {cols} FROM {d.t('documents')}"
-
-
-@op
-def sc44_sensitivity(d):
-    """SC44, SC26: restricted before confidential before internal before public."""
-    return f"""SELECT doc_id, CASE WHEN {d.rx('text', 'AKIA|password|token =')} THEN 'restricted' WHEN {d.rx('text', '[0-9]{16}')} THEN 'confidential' WHEN {d.rx('text', '@')} THEN 'internal' ELSE 'public' END AS level FROM {d.t('documents')}"""
 
 
-@op
-def sc47_intent(d):
-    """SC45-SC50: keyword and pattern scores of each intent, the first of the best wins."""
-    return f"""SELECT conv_id, turn, intent, score FROM (SELECT conv_id, turn, r.intent, sum(r.weight) AS score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sum(r.weight) DESC, r.intent) AS place FROM {d.t('conversations')}
-        JOIN (VALUES ('ask', 'there', 1.0), ('ask', 'what', 2.0), ('tell', 'this', 1.0), ('tell', 'that', 1.0), ('move', 'from', 2.0)) AS r(intent, word, weight) ON contains(lower(text), r.word) GROUP BY conv_id, turn, r.intent) x WHERE place = 1"""
 
 
-@op
-def sc27_threat_feed(d):
-    """SC27-SC29: indicators found in lower-cased texts, by severity; the worst and how many."""
-    return f"""SELECT doc_id, max(i.severity) AS severity, count(*) AS indicators FROM {d.t('documents')} JOIN (VALUES ('token', 3), ('password', 4), ('akia', 4), ('idiot', 1), ('@mail', 2)) AS i(word, severity) ON contains(lower(text), i.word) GROUP BY doc_id"""
-
 
 @op
 def sc55_tenant_isolation(d):

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 PLANS: dict[str, Callable] = {}
+#: Letters beyond ASCII, roughly.
+LETTERS = r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{1FFF}\x{3040}-\x{D7FF}]"
 #: Tables that are made of others: the table that each reads, its DataFrame function, and SQL for the other engine.
 MADE: dict[str, tuple[str, Callable, Callable]] = {}
 
@@ -105,6 +107,34 @@ class Spark:
     def collect(self, x):
         return f"collect_set({x})"
 
+    def lmax(self, x):
+        return f"array_max({x})"
+
+    def lsum(self, x):
+        return f"aggregate({x}, CAST(0 AS DOUBLE), (s, v) -> s + v)"
+
+    def pos(self, x, v):
+        """The first place of v in x, from 1; 0 where it isn't there."""
+        return f"CAST(array_position({x}, {v}) AS INT)"
+
+    def has(self, x, v):
+        return f"array_contains({x}, {v})"
+
+    def valid_json(self, x):
+        return f"(try_parse_json({x}) IS NOT NULL)"
+
+    def values(self, rows, name, *columns):
+        """A table of literals. Strings are quoted here."""
+        cell = lambda v: self.lit(v) if isinstance(v, str) else "NULL" if v is None else str(v)
+        return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS {name}({', '.join(columns)})"
+
+    def strings(self, xs):
+        return self.arr(*map(self.lit, xs))
+
+    def r4(self, x):
+        """Rounded to four places, in the same steps on every engine."""
+        return f"(floor(({x}) * 10000.0 + 0.5) / 10000.0)"
+
 
 class Duck(Spark):
     def t(self, name):
@@ -119,11 +149,16 @@ class Duck(Spark):
     def us(self, x):
         return f"epoch_us({x})"
 
+    def bounded(self, x, p):
+        r"""Letters beyond ASCII as _ where the pattern asks for \b, which RE2 knows for ASCII only; other engines take them
+        for letters."""
+        return f"regexp_replace({x}, {self.lit(LETTERS)}, '_', 'g')" if r"\b" in p else x
+
     def rx(self, x, p):
-        return f"regexp_matches({x}, {self.lit(p)})"
+        return f"regexp_matches({self.bounded(x, p)}, {self.lit(p)})"
 
     def rxn(self, x, p):
-        return f"len(regexp_extract_all({x}, {self.lit(p)}))"
+        return f"len(regexp_extract_all({self.bounded(x, p)}, {self.lit(p)}))"
 
     def rep(self, x, p, r):
         return f"regexp_replace({x}, {self.lit(p)}, '{r}', 'g')"
@@ -185,10 +220,26 @@ class Duck(Spark):
     def collect(self, x):
         return f"list(DISTINCT {x})"
 
+    def lmax(self, x):
+        return f"list_max({x})"
+
+    def lsum(self, x):
+        return f"coalesce(list_sum({x}), 0.0)"
+
+    def pos(self, x, v):
+        return f"coalesce(list_position({x}, {v}), 0)"
+
+    def has(self, x, v):
+        return f"list_contains({x}, {v})"
+
+    def valid_json(self, x):
+        return f"json_valid({x})"
+
 
 def _doubles(sql: str, suffix: str) -> str:
     """Decimal literals as doubles, outside of quotes: the engines differ in the scale of decimal results."""
-    parts = re.split(r"('(?:[^'\\\\]|\\\\.|'')*')", sql)
+    quoted = r"('(?:[^'\\]|\\.)*')" if suffix == "D" else r"('(?:[^']|'')*')"
+    parts = re.split(quoted, sql, flags=re.S)
     return "".join(x if i % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", rf"\1{suffix}", x) for i, x in enumerate(parts))
 
 
@@ -196,9 +247,9 @@ def tables(name: str) -> set[str]:
     return set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", PLANS[name](Spark())))
 
 
-def apply(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
-    """The plan over the caller's DataFrames."""
-    return spark.sql(_doubles(PLANS[name](Spark()), "D"), **frames)
+def apply(spark: SparkSession, name: str, options: dict | None = None, **frames: DataFrame) -> DataFrame:
+    """The plan over the caller's DataFrames. options: the plan's own parameters (pattern tables, weights, thresholds)."""
+    return spark.sql(_doubles(PLANS[name](Spark(), **(options or {})), "D"), **frames)
 
 
 def query(name: str):

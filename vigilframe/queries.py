@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilframe.functions import text as T
-from vigilframe.operators import conversation, graph, obfuscation, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
+from vigilframe.operators import conversation, detectors, graph, obfuscation, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
 from vigilframe.plans.golden import CASES
 from vigilframe.plans.shared import with_checkpoints
