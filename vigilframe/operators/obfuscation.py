@@ -77,20 +77,34 @@ def plain_letters(text) -> Column:
     return F.translate(col(text), CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
 
 
-def obfuscation(df: DataFrame, text: str = "text") -> DataFrame:
-    """SC9-SC17: df with `hidden`, an array of kind, risk and decoded text."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def suspicious(t: Column, low: Column) -> Column:
+    """Whether any encoding can be in a text: cheap tests that most texts fail."""
+    return (
+        t.rlike("[A-Za-z0-9+/]{16}") | F.contains(low, F.lit("\\x")) | F.contains(low, F.lit("0x")) | F.contains(low, F.lit("rot")) | F.contains(t, F.lit("\\u")) | F.contains(low, F.lit("fromcharcode"))
+        | t.rlike("[0134578@$!]") | t.rlike(ZERO_WIDTH) | t.rlike("['\"]\\s*\\+") | t.rlike(f"[{CYRILLIC[0]}{GREEK[0]}]")
+    )
+
+
+def hidden_terms(t: Column, low: Column) -> Column:
+    """An array of kind, risk and decoded text of what each encoding hides."""
 
     def rows(kind, decoded, when=lambda x: x.rlike(DANGEROUS), risk=HIGH):
         return F.transform(F.filter(decoded, when), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(risk).alias("risk"), x.alias("decoded")))
 
-    low = F.lower(t)
     undone = F.translate(low, *LEET)
     leet = F.slice(F.filter(F.array(*map(F.lit, LEET_TARGETS)), lambda x: F.contains(undone, x) & ~F.contains(low, x)), 1, 1)
     looks = F.when(t.rlike(f"[{CYRILLIC[0]}{GREEK[0]}]"), F.array(plain_letters(t))).otherwise(F.array().cast("array<string>"))
     smuggled = F.when(F.regexp_count(t, F.lit(ZERO_WIDTH)) >= 5, F.array(F.lit("zero-width characters"))).otherwise(F.array().cast("array<string>"))
     every = lambda x: F.lit(True)
-    return df.withColumn("hidden", pinned(F.flatten(F.array(
+    return F.flatten(F.array(
         rows("base64", base64_texts(t)), rows("hex", hex_texts(t)), rows("rot13", rot13_texts(t)), rows("unicode_escape", escape_texts(t)), rows("leetspeak", leet, every, MEDIUM),
         rows("zero_width", smuggled, every), rows("concatenation", concatenated(t), lambda x: F.lower(x).isin(*CONCAT_WORDS)), rows("charcode", charcode_texts(t)), rows("homoglyph", looks),
-    ))))
+    ))
+
+
+def obfuscation(df: DataFrame, text: str = "text") -> DataFrame:
+    """SC9-SC17: df with `hidden`, an array of kind, risk and decoded text. Null texts hide nothing."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(t)
+    none = F.array().cast("array<struct<kind:string,risk:int,decoded:string>>")
+    return df.withColumn("hidden", pinned(F.when(suspicious(t, low), hidden_terms(t, low)).otherwise(none)))

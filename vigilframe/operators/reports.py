@@ -56,14 +56,6 @@ def f26_instructions(d):
         SELECT conv_id, all_s, {d.explode(d.seq('1', d.size('all_s')))} AS s FROM (SELECT conv_id, {d.all('text', '[^.!?]+')} AS all_s FROM {d.t('conversations')} WHERE role = 'system') a) b) c"""
 
 
-@op
-def g13_prompt_firewall(d):
-    """Ordered rules; a transform rewrites what later rules see, a block stops."""
-    one = d.rep("text", "[0-9]{16}", "[CARD]")
-    return f"""SELECT doc_id, CASE WHEN {d.rx('text', 'AKIA[A-Z0-9]{16}')} THEN 'keys' WHEN length(seen) > 9000 THEN 'length' END AS blocked_at, CASE WHEN {d.rx('text', 'AKIA[A-Z0-9]{16}')} OR length(seen) > 9000 THEN '' ELSE {d.rep('seen', '[#*$%&|<>]{2,}', '')} END AS output
-        FROM (SELECT doc_id, text, {one} AS seen FROM {d.t('documents')}) x"""
-
-
 @op
 def j21_conflicting_sentences(d):
     """Sentences of one turn that share at least half of their words."""

@@ -7,10 +7,13 @@ than once can be scanned once with `guard_distinct`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.text import HIGH, LOW, MEDIUM, NONE, col, luhn_valid, pinned, redact, without_overlaps, words
+from vigilframe.operators.obfuscation import hidden_terms, suspicious
 from vigilframe.plans.rules import AGGRESSIVE, DEFAULT, HEDGING, INJECTION_TOKENS, PLACEHOLDER, SECRETS, Rule
 
 FINDING = "struct<scanner:string,name:string,risk:int,start:int,stop:int,match:string>"
@@ -28,14 +31,18 @@ def has_needle(low: Column, needles: tuple[str, ...]) -> Column | None:
     return out
 
 
-def _hit(text: Column, low: Column, rule: Rule) -> Column:
-    """The rule with its matches and the pieces between them, or null."""
+def _present(text: Column, low: Column, rule: Rule) -> Column:
     when = text.rlike(rule.pattern)
     if rule.name in FIRST:
         when = text.rlike(FIRST[rule.name]) & when
     needle = has_needle(low, rule.needles)
+    return when if needle is None else needle & when
+
+
+def _hit(text: Column, low: Column, rule: Rule) -> Column:
+    """The rule with its matches and the pieces between them, or null."""
     row = F.struct(F.lit(rule.scanner).alias("scanner"), F.lit(rule.name).alias("name"), F.lit(rule.risk).alias("risk"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("m"), F.split(text, rule.pattern, -1).alias("b"))
-    return F.when(when if needle is None else needle & when, row)
+    return F.when(_present(text, low, rule), row)
 
 
 def _located(hit: Column) -> Column:
@@ -58,9 +65,11 @@ def _whole(condition: Column, scanner: str, name: str, risk: int) -> Column:
 
 def density(text) -> Column:
     """Share of the words that speak of instructions and roles."""
-    ws = words(F.lower(col(text)))
+    low = F.lower(col(text))
+    ws = words(low)
     hit = F.filter(ws, lambda w: F.regexp_replace(w, r"^[.,!?;:\"'()\[\]{}]+|[.,!?;:\"'()\[\]{}]+$", "").isin(*INJECTION_TOKENS))
-    return F.when(F.size(ws) > 0, F.size(hit) / F.size(ws)).otherwise(0.0)
+    # A text without any of the words, as substrings, is not split at all.
+    return F.when(has_needle(low, INJECTION_TOKENS) & (F.size(ws) > 0), F.size(hit) / F.size(ws)).otherwise(0.0)
 
 
 def _genuine(x: Column, names: set[str]) -> Column:
@@ -77,23 +86,36 @@ def _genuine(x: Column, names: set[str]) -> Column:
     return out
 
 
-def with_findings(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, heuristics: bool = True) -> DataFrame:
-    """df with findings: all findings of the rules in rule order, then those of a text as a whole. Null texts have none."""
+def with_findings(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, heuristics: bool = True, hidden: bool = False) -> DataFrame:
+    """df with findings: all findings of the rules in rule order, those of a text as a whole, and, if hidden, dangerous
+    terms that encodings hide. Null texts have none.
+
+    A text meets every pattern once, to see whether any is there. Only texts with one have their matches taken out, which
+    runs in expressions that aren't compiled; most texts end there."""
     body, low = F.col("__body"), F.col("__low")
+    none = F.array().cast(f"array<{FINDING}>")
     out = df.withColumn("__body", F.coalesce(F.col(text), F.lit(""))).withColumn("__low", pinned(F.lower("__body")))
-    out = out.withColumn("__hits", pinned(F.filter(F.array(*[_hit(body, low, r) for r in rules]), lambda x: x.isNotNull())))
-    out = out.withColumn("findings", pinned(F.filter(F.flatten(F.transform("__hits", _located)), lambda x: _genuine(x, {r.name for r in rules}))))
+    some = reduce(lambda a, b: a | b, [_present(body, low, r) for r in rules], F.lit(False))
+    out = out.withColumn("__some", pinned(some))
+    out = out.withColumn("__hits", pinned(F.when(F.col("__some"), F.filter(F.array(*[_hit(body, low, r) for r in rules]), lambda x: x.isNotNull()))))
+    genuine = F.filter(F.flatten(F.transform("__hits", _located)), lambda x: _genuine(x, {r.name for r in rules}))
+    out = out.withColumn("findings", pinned(F.when(F.col("__some"), genuine).otherwise(none)))
     scanners, whole = {r.scanner for r in rules} if heuristics else set(), []
     if "hallucination" in scanners:
-        whole.append(_whole(F.regexp_count(body, F.lit(HEDGING.pattern)) >= 3, "hallucination", HEDGING.name, HEDGING.risk))
+        whole.append(_whole(has_needle(low, HEDGING.needles) & (F.regexp_count(body, F.lit(HEDGING.pattern)) >= 3), "hallucination", HEDGING.name, HEDGING.risk))
     if "toxicity" in scanners:
-        whole.append(_whole(F.regexp_count(body, F.lit(AGGRESSIVE[0])) + F.regexp_count(body, F.lit(AGGRESSIVE[1])) >= 2, "toxicity", "aggressive_tone", LOW))
+        loud = F.when(F.contains(body, F.lit("!!")), F.regexp_count(body, F.lit(AGGRESSIVE[1]))).otherwise(0)
+        whole.append(_whole(F.regexp_count(body, F.lit(AGGRESSIVE[0])) + loud >= 2, "toxicity", "aggressive_tone", LOW))
     if "prompt_injection" in scanners:
-        none = ~F.exists("findings", lambda x: x["scanner"] == "prompt_injection")
-        whole.append(_whole(none & (density(body) > 0.7), "prompt_injection", "density", MEDIUM))
-    if whole:
-        out = out.withColumn("findings", pinned(F.concat("findings", F.filter(F.array(*whole), lambda x: x.isNotNull()))))
-    return out.drop("__body", "__low", "__hits")
+        clear = ~F.exists("findings", lambda x: x["scanner"] == "prompt_injection")
+        whole.append(_whole(clear & (density(body) > 0.7), "prompt_injection", "density", MEDIUM))
+    parts = ["findings"] + ([F.filter(F.array(*whole), lambda x: x.isNotNull())] if whole else [])
+    if hidden:
+        unseen = lambda x: F.struct(F.lit("obfuscation").alias("scanner"), x["kind"].alias("name"), x["risk"].alias("risk"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), x["decoded"].alias("match"))
+        parts.append(F.when(suspicious(body, low), F.transform(hidden_terms(body, low), unseen)).otherwise(none))
+    if len(parts) > 1:
+        out = out.withColumn("findings", pinned(F.concat(*parts)))
+    return out.drop("__body", "__low", "__some", "__hits")
 
 
 def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -107,13 +129,23 @@ def blocked_at(risk, threshold: int = HIGH) -> Column:
 
 def redacted(text, found) -> Column:
     """PII spans replaced by [TYPE]; of overlapping ones the earliest stays."""
-    pii = F.array_sort(F.filter(col(found), lambda x: x["scanner"] == "pii"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
-    return redact(text, without_overlaps(pii), lambda x: F.concat(F.lit("["), x["name"], F.lit("]")))
+    is_pii = lambda x: x["scanner"] == "pii"
+    pii = F.array_sort(F.filter(col(found), is_pii), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
+    clean = redact(text, without_overlaps(pii), lambda x: F.concat(F.lit("["), x["name"], F.lit("]")))
+    return F.when(F.exists(col(found), is_pii), clean).otherwise(col(text))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer (a table of few row groups): scanning a text takes
+    far longer than moving it. A table of more partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def guard(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, threshold: int = HIGH) -> DataFrame:
-    """df with findings, n_findings, risk, blocked, safe and redacted_text."""
-    out = with_findings(df, text, rules)
+def guard(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, threshold: int = HIGH, hidden: bool | None = None) -> DataFrame:
+    """df with findings, n_findings, risk, blocked, safe and redacted_text. hidden: look for what encodings hide as well;
+    the default guard does."""
+    out = with_findings(spread(df), text, rules, hidden=rules is DEFAULT if hidden is None else hidden)
     out = out.withColumn("n_findings", F.size("findings")).withColumn("risk", F.coalesce(F.array_max(F.transform("findings", lambda x: x["risk"])), F.lit(NONE)))
     out = out.withColumn("blocked", blocked_at("risk", threshold))
     return out.withColumn("safe", ~F.col("blocked") & (F.col("risk") <= LOW)).withColumn("redacted_text", redacted(text, "findings"))
@@ -127,10 +159,20 @@ def guard_distinct(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 
 def blocked_terms(df: DataFrame, terms: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """term and how often each text has it, case ignored. terms: a small table of the caller's."""
-    low = df.select(*keep, F.lower(F.col(text)).alias("__low"))
-    hit = low.join(terms.select(F.lower("term").alias("term")).distinct(), F.expr("contains(__low, term)"))
-    n = (F.length("__low") - F.length(F.replace(F.col("__low"), F.col("term"), F.lit("")))) / F.length("term")
+    """term and how often each text has it, case ignored. terms(term): the caller's; empty and null ones are left out.
+
+    Texts and terms meet by a term's first three characters (all of a shorter one's), so a list of any length is an
+    equi-join; what meets is held against the whole term."""
+    p = "__term_"
+    words = terms.select(F.lower("term").alias("term")).filter("term <> ''").distinct().withColumn(p + "first", F.substring("term", 1, 3))
+    low = df.select(*keep, F.lower(F.col(text)).alias(p + "low")).withColumn(p + "row", F.monotonically_increasing_id())
+
+    def grams_of(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p + "low") - n + 1, F.lit(1))), lambda i: F.substr(F.col(p + "low"), i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(grams_of, (1, 2, 3)))))
+    hit = low.withColumn(p + "first", F.explode(grams)).join(words, p + "first").filter(F.contains(p + "low", "term"))
+    n = (F.length(p + "low") - F.length(F.replace(F.col(p + "low"), F.col("term"), F.lit("")))) / F.length("term")
     return hit.select(*keep, "term", n.cast("long").alias("n"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.plans.shared import ensure_checkpoints
 from vigilframe.plans.sql import op
 
 
@@ -88,12 +89,6 @@ def a18_risk_matrix(d):
     return f"SELECT o_orderpriority AS severity, {cells}, count(*) AS total FROM {d.t('orders')} GROUP BY o_orderpriority"
 
 
-@op
-def a19_project_score(d):
-    """A19, SC57: 100 less weighted findings, not below 0."""
-    return f"SELECT c_mktsegment AS project, greatest(0, 100 - CAST(sum(CASE WHEN c_acctbal < 0 THEN 15 WHEN c_acctbal < 1000 THEN 5 WHEN c_acctbal < 2000 THEN 2 ELSE 0 END) AS BIGINT)) AS score FROM {d.t('customer')} GROUP BY c_mktsegment"
-
-
 @op
 def a20_feedback_by_label(d):
     return f"""SELECT label, count(*) AS n, avg(rating) AS average, avg(CASE WHEN rating >= 4 THEN 1.0 ELSE 0.0 END) AS positive
@@ -200,33 +195,6 @@ def w24_runaway_loops(d):
     return f"SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, min(event_type) {w} AS a, max(event_type) {w} AS b, count(*) {w} AS n FROM {d.t('events')}) x WHERE n = 5 AND a = b"
 
 
-@op
-def w26_read_then_send(d):
-    """A purchase (sending) after a view of a high value (a sensitive read) earlier in the session."""
-    return f"""SELECT event_id, user_id FROM (SELECT event_id, user_id, event_type, max(CASE WHEN event_type = 'view' AND value > 90 THEN 1 ELSE 0 END)
-        OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM {d.t('events')}) x WHERE event_type = 'purchase' AND earlier = 1"""
-
-
-@op
-def w27_attack_chains(d):
-    """All required stages within a day, in any order; each chain once for a session, at its first completion."""
-    stages = {"recon": "view", "access": "login", "exfil": "purchase"}
-    us = d.us("ts")
-    seen = ", ".join(f"max(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) OVER w AS {s}" for s, t in stages.items())
-    return f"""SELECT user_id, chain, min(t_us) AS first_us FROM (SELECT user_id, t_us, {d.explode(d.arr("CASE WHEN recon = 1 AND access = 1 THEN 'credential_theft' END", "CASE WHEN recon = 1 AND exfil = 1 THEN 'data_theft' END", "CASE WHEN recon = 1 AND access = 1 AND exfil = 1 THEN 'full_chain' END"))} AS chain
-        FROM (SELECT user_id, {us} AS t_us, {seen} FROM {d.t('events')} WINDOW w AS (PARTITION BY user_id ORDER BY {us} RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)) x) y WHERE chain IS NOT NULL GROUP BY user_id, chain"""
-
-
-@op
-def w28_verify_hash_chain(d):
-    """Every entry's hash follows from its own fields and the hash before; here the hash before is recomputed."""
-    s = d.s()
-    h = lambda p: d.sha(f"concat(CAST(event_id AS {s}), ':', event_type, ':', {p})")
-    return f"""WITH e AS (SELECT event_id, user_id, event_type, substr({h("'genesis'")}, 1, 16) AS entry_hash FROM {d.t('events')}),
-        c AS (SELECT event_id, user_id, event_type, entry_hash, coalesce(lag(entry_hash) OVER (PARTITION BY user_id ORDER BY event_id), '0000000000000000') AS before FROM e)
-        SELECT event_id, before, substr({h('before')}, 1, 16) AS chained, entry_hash = substr({h("'genesis'")}, 1, 16) AS valid FROM c"""
-
-
 @op
 def w29_recent_entries(d):
     return f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {d.t('events')}) x WHERE r <= 5"
@@ -281,6 +249,7 @@ def t3_priority_queue(d):
 def priority_queue(events: DataFrame) -> DataFrame:
     """t3_priority_queue over all events: ranges of (event_type, ts, event_id) are ordered on their own, and a place is the
     rows of the ranges before plus the row's place in its own. Needs a checkpoint folder."""
+    ensure_checkpoints(events.sparkSession)
     order = ("event_type", "ts", "event_id")
     ranged = events.select("event_id", "event_type", "ts").repartitionByRange(*order).sortWithinPartitions(*order)
     # The id holds the partition above 33 bits of the row's number in it; the checkpoint fixes both.

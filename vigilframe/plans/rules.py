@@ -94,7 +94,7 @@ HALLUCINATION = tuple(
         ("false_confidence", r"(?i)\b(it\s+is\s+(a\s+)?well[\s-]known\s+fact|as\s+everyone\s+knows|it\s+is\s+widely\s+accepted|studies\s+have\s+(conclusively\s+)?shown|research\s+proves|experts\s+agree|it\s+has\s+been\s+proven|science\s+has\s+shown)\b", LOW, ("known", "knows", "accepted", "shown", "proves", "agree", "proven")),
     )
 )
-HEDGING = Rule("hallucination", "excessive_hedging", r"(?i)\b(I\s+think|I\s+believe|I'm\s+not\s+(entirely\s+)?sure|if\s+I\s+recall\s+correctly|to\s+the\s+best\s+of\s+my\s+knowledge|I\s+may\s+be\s+wrong|don'?t\s+quote\s+me\s+on\s+this|approximately|roughly|around\s+\d|sometime\s+around|it'?s\s+possible\s+that|there'?s\s+a\s+chance)\b", LOW)
+HEDGING = Rule("hallucination", "excessive_hedging", r"(?i)\b(I\s+think|I\s+believe|I'm\s+not\s+(entirely\s+)?sure|if\s+I\s+recall\s+correctly|to\s+the\s+best\s+of\s+my\s+knowledge|I\s+may\s+be\s+wrong|don'?t\s+quote\s+me\s+on\s+this|approximately|roughly|around\s+\d|sometime\s+around|it'?s\s+possible\s+that|there'?s\s+a\s+chance)\b", LOW, ("think", "believe", "sure", "recall", "best of my", "wrong", "quote me", "approximately", "roughly", "around", "possible", "chance"))
 TOXICITY = tuple(
     Rule("toxicity", *r)
     for r in (

@@ -52,7 +52,7 @@ def _present(rule, grouped) -> str:
     return f"({' OR '.join(out)})"
 
 
-def scored_sql(grouped: tuple[str, ...], dangerous: tuple[str, ...]) -> str:
+def scored_sql(grouped: tuple[str, ...], dangerous: tuple[str, ...], source: str = "conversations", keys: str = "conv_id, turn, role, text") -> str:
     hits = [(r.scanner, r.risk, _present(r, grouped)) for r in DEFAULT]
     hits.append(("hallucination", HEDGING.risk, f"len(regexp_extract_all(t, {_q(HEDGING.pattern)})) >= 3"))
     hits.append(("toxicity", LOW, " + ".join(f"len(regexp_extract_all(t, {_q(p)}))" for p in AGGRESSIVE) + " >= 2"))
@@ -61,9 +61,9 @@ def scored_sql(grouped: tuple[str, ...], dangerous: tuple[str, ...]) -> str:
     tokens = ", ".join(_q(x) for x in INJECTION_TOKENS)
     bare = "regexp_replace(regexp_replace(w, '^[.,!?;:\"''()\\[\\]{}]+', ''), '[.,!?;:\"''()\\[\\]{}]+$', '')"
     dense = f"len(list_filter({words}, lambda w: {bare} IN ({tokens}))) > 0.7 * len({words})"
-    found = f"SELECT conv_id, turn, role, text, t, list_filter([{rows}], lambda x: x IS NOT NULL) AS f FROM (SELECT *, coalesce(text, '') AS t FROM conversations) a"
+    found = f"SELECT {keys}, t, list_filter([{rows}], lambda x: x IS NOT NULL) AS f FROM (SELECT *, coalesce(text, '') AS t FROM {source} s) a"
     dense = f"CASE WHEN NOT list_contains(list_transform(f, lambda x: x.c), 'prompt_injection') AND {dense} THEN list_append(f, {{'c': 'prompt_injection', 'r': {MEDIUM}}}) ELSE f END"
     names = "list_sort(list_distinct(list_transform(g, lambda x: x.c)))"
     some = ", ".join(_q(x) for x in dangerous)
-    return f"""SELECT conv_id, turn, role, text, CAST(coalesce(list_max(list_transform(g, lambda x: x.r)), 0) AS BIGINT) AS risk, {names} AS categories, list_has_any({names}, [{some}]) AS dangerous
-        FROM (SELECT conv_id, turn, role, text, {dense} AS g FROM ({found}) b) c"""
+    return f"""SELECT {keys}, CAST(coalesce(list_max(list_transform(g, lambda x: x.r)), 0) AS BIGINT) AS risk, {names} AS categories, list_has_any({names}, [{some}]) AS dangerous
+        FROM (SELECT {keys}, {dense} AS g FROM ({found}) b) c"""

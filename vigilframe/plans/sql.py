@@ -19,11 +19,20 @@ LETTERS = r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{1FFF}\x{3040}-\x
 MADE: dict[str, tuple[str, Callable, Callable]] = {}
 
 
+#: Inputs that operators name and the test tables don't have: SQL that makes each from the test tables.
+INPUTS: dict[str, Callable] = {}
+
+
 def op(f: Callable) -> Callable:
     PLANS[f.__name__] = f
     return f
 
 
+def given(f: Callable) -> Callable:
+    INPUTS[f.__name__] = f
+    return f
+
+
 class Spark:
     def t(self, name):
         return "{" + name + "}"
@@ -56,6 +65,10 @@ class Spark:
     def all(self, x, p):
         return f"regexp_extract_all({x}, {self.lit(p)}, 0)"
 
+    def all0(self, x, p):
+        """Whole matches, also where the pattern has groups."""
+        return self.all(x, p)
+
     def pct(self, x, q):
         return f"percentile({x}, {q})"
 
@@ -125,7 +138,7 @@ class Spark:
 
     def values(self, rows, name, *columns):
         """A table of literals. Strings are quoted here."""
-        cell = lambda v: self.lit(v) if isinstance(v, str) else "NULL" if v is None else str(v)
+        cell = lambda v: self.lit(v) if isinstance(v, str) else "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
         return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS {name}({', '.join(columns)})"
 
     def strings(self, xs):
@@ -138,7 +151,7 @@ class Spark:
 
 class Duck(Spark):
     def t(self, name):
-        return f"({MADE[name][2]()})" if name in MADE else name
+        return f"({MADE[name][2]()})" if name in MADE else f"({INPUTS[name](self)})" if name in INPUTS else name
 
     def lit(self, p):
         return "'" + p.replace("'", "''") + "'"
@@ -243,8 +256,12 @@ def _doubles(sql: str, suffix: str) -> str:
     return "".join(x if i % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", rf"\1{suffix}", x) for i, x in enumerate(parts))
 
 
+def named(sql: str) -> set[str]:
+    return set(re.findall(r"(?<!\{)\{([a-z_]+)\}(?!\})", sql))
+
+
 def tables(name: str) -> set[str]:
-    return set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", PLANS[name](Spark())))
+    return named(PLANS[name](Spark()))
 
 
 def apply(spark: SparkSession, name: str, options: dict | None = None, **frames: DataFrame) -> DataFrame:
@@ -256,6 +273,9 @@ def query(name: str):
     def frame(spark, sf_dir, t):
         if t in MADE:
             return MADE[t][1](frame(spark, sf_dir, MADE[t][0]))
+        if t in INPUTS:
+            text = INPUTS[t](Spark())
+            return spark.sql(_doubles(text, "D"), **{u: frame(spark, sf_dir, u) for u in named(text)})
         return spark.read.parquet(f"{sf_dir}/{t}.parquet")
 
     def run(spark, sf_dir):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from vigilframe.functions import text as T
 from vigilframe.operators import conversation, detectors, graph, obfuscation, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
-from vigilframe.plans.golden import CASES
-from vigilframe.plans.shared import with_checkpoints
+from vigilframe.plans.golden import CASES, OBFUSCATED
+from vigilframe.plans.scored_sql import scored_sql
 from vigilframe.plans.sql import PLANS, oracle, query
 from vigilframe.sources import io
 from vigilframe.streaming import guards
@@ -31,7 +31,7 @@ def sc_rule_counts(spark, sf_dir):
     """SC1-SC7, SC18: matches of every portable rule over documents and the golden texts, as ASCII."""
     golden = spark.createDataFrame([(i, t) for i, t, _ in CASES], "doc_id long, text string")
     both = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(golden).withColumn("text", T.ascii_only("text"))
-    found = scanners.with_findings(both, "text", PORTABLE, heuristics=False).select("doc_id", F.inline("findings"))
+    found = scanners.with_findings(scanners.spread(both), "text", PORTABLE, heuristics=False).select("doc_id", F.inline("findings"))
     return found.groupBy("scanner", F.col("name").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), F.max("risk").alias("risk"))
 
 
@@ -75,18 +75,15 @@ def _edges(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500 + 1).alias("dst"))
 
 
-@with_checkpoints
 def j17_reachable(spark, sf_dir):
     start = spark.createDataFrame([(1,)], "node long")
     return graph.reachable(_edges(spark, sf_dir), start).select("node")
 
 
-@with_checkpoints
 def j18_components(spark, sf_dir):
     return graph.labels(_edges(spark, sf_dir))
 
 
-@with_checkpoints
 def j18_cycles(spark, sf_dir):
     return graph.on_cycles(_edges(spark, sf_dir))
 
@@ -120,8 +117,28 @@ def st7_window_alerts(spark, sf_dir):
 
 
 def sc9_obfuscation(spark, sf_dir):
-    """SC9-SC17 over documents."""
-    return obfuscation.obfuscation(_table(spark, sf_dir, "documents")).select("doc_id", F.inline("hidden"))
+    """SC9-SC17 over documents and the golden texts."""
+    golden = spark.createDataFrame([(i, t) for i, t, _ in OBFUSCATED], "doc_id long, text string")
+    both = _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(golden)
+    return obfuscation.obfuscation(both).select("doc_id", F.inline("hidden"))
+
+
+def _with_golden(spark, sf_dir):
+    golden = spark.createDataFrame([(i, t) for i, t, _ in CASES], "doc_id long, text string")
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(golden)
+
+
+def guard_verdicts(spark, sf_dir):
+    """Risk and categories of the pattern scanners for every document and golden text, which SQL can express as a
+    whole; the guard's redaction, spans and encodings are held against brute force in the tests."""
+    found = scanners.with_findings(scanners.spread(_with_golden(spark, sf_dir)), "text")
+    return conversation.verdicts(found, "doc_id").drop("text")
+
+
+def _verdicts_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    golden = ", ".join(f"({i}, {quote(t)})" for i, t, _ in CASES)
+    return f"SELECT doc_id, risk, categories, dangerous FROM ({scored_sql(scanners.GROUPED, conversation.DANGEROUS, f'(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {golden}) AS g(doc_id, text))', 'doc_id, text')}) v"
 
 
 def a10_private_counts(spark, sf_dir):
@@ -134,13 +151,12 @@ def j22_kept_spans(spark, sf_dir):
     return scanners.kept_spans(_table(spark, sf_dir, "documents"), rules=rules.PII + rules.SECRETS)
 
 
-@with_checkpoints
 def t3_priority_queue(spark, sf_dir):
     """SNK8, T3: places over all events."""
     return usage.priority_queue(_table(spark, sf_dir, "events"))
 
 
-_OWN = (j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
+_OWN = (j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, guard_verdicts, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
 QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
 # In place of the plan, whose SQL checks it.
@@ -148,6 +164,8 @@ QUERIES |= {"t3_priority_queue": t3_priority_queue}
 _EDGES = "(SELECT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders)"
 SQL = {name: oracle(name) for name in PLANS} | {
     "sc_rule_counts": _rule_counts_sql(),
+    "guard_verdicts": _verdicts_sql(),
+    "j18_cycles": f"WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT src, dst FROM {_EDGES}), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT DISTINCT src AS node FROM r WHERE src = dst",
     "j17_reachable": f"WITH RECURSIVE r(node) AS (SELECT 1::BIGINT UNION SELECT e.dst FROM r JOIN {_EDGES} e ON e.src = r.node) SELECT node FROM r",
     "j18_components": f"WITH RECURSIVE b AS MATERIALIZED (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), r(node, component) AS (SELECT src, src FROM b UNION SELECT b.dst, r.component FROM r JOIN b ON b.src = r.node) SELECT node, min(component) AS component FROM r GROUP BY node",
 }

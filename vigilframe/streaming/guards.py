@@ -8,7 +8,6 @@ order of time; rows later than the watermark are dropped by Spark before they co
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vigilframe.plans.shared import own_folder
+
 
 def token_bucket(capacity: float = 5.0, rate: float = 1 / 3600, cost: float = 1.0) -> tuple[Callable, str]:
     """ST2: tokens grow with time up to the capacity; an event takes `cost` of them or is denied and told when to retry."""
@@ -174,7 +175,7 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataF
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over what is there now, into Parquet in the shared folder, and read the result."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
     path = os.path.join(base, f"stream-{uuid.uuid4().hex}")
     schema = stream.schema
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
