@@ -11,7 +11,6 @@ from vigilframe.functions import text as T
 from vigilframe.operators import graph, scanners
 from vigilframe.plans import rules
 from vigilframe.plans.golden import CASES
-from vigilframe.plans.shared import with_checkpoints
 from vigilframe.plans.sql import PLANS, apply, oracle
 from vigilframe.sources import io
 from vigilframe.streaming import guards
@@ -110,7 +109,6 @@ def test_column_functions(spark):
     assert got.grade == "B" and got.risk == "critical" and got.s == ["One.", "Two!", "three"] and len(got.o) == 2
 
 
-@with_checkpoints
 def _graphs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (7, 8), (9, 7)], "src long, dst long")
     return (

@@ -277,15 +277,12 @@ CHAINS = (
     ("escalate_destroy", 4, 0.9, ("privilege_escalation", "destruction")), ("poison_escalate", 3, 0.85, ("context_poisoning", "privilege_escalation")),
     ("recon_escalate_persist", 4, 0.9, ("reconnaissance", "privilege_escalation", "persistence")), ("poison_credential_exfiltrate", 4, 0.95, ("context_poisoning", "credential_access", "exfiltration")),
 )
-#: Every string value of a JSON text, in order; keys are followed by a colon.
-VALUES = r'"((?:[^"\\]|\\.)*)"\s*[,}\]]'
-
-
 def values_of(d, x):
-    """The string values of a JSON text, joined by blanks; escaped quotes and backslashes undone."""
+    """The string values of a JSON text in order, joined by blanks; escaped quotes and backslashes undone. A key is followed
+    by a colon, a value is not."""
     bare = d.rep(d.rep("v", r'^"', ""), r'"\s*[,}\]]$', "")
     plain = f"""replace(replace({bare}, '{chr(92) * (4 if d.t('x') != 'x' else 2)}', '{chr(92) * (2 if d.t('x') != 'x' else 1)}'), '{chr(92) * (2 if d.t('x') != 'x' else 1)}"', '"')"""
-    return d.join(d.map(d.all0(x, VALUES), "v", plain), " ")
+    return d.join(d.map(d.all0(x, d.string + r'\s*[,}\]]'), "v", plain), " ")
 
 
 def staged(d, stages=STAGES):

@@ -34,6 +34,9 @@ def given(f: Callable) -> Callable:
 
 
 class Spark:
+    #: A JSON string. Possessive, as Java's matcher descends once for every character or escape of a group that may yield.
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
     def t(self, name):
         return "{" + name + "}"
 
@@ -41,7 +44,8 @@ class Spark:
         return "STRING"
 
     def lit(self, p):
-        return "'" + p.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'"
+        # A dollar before a brace would be a variable of the session.
+        return "'" + p.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{").replace("{", "{{").replace("}", "}}") + "'"
 
     def us(self, x):
         return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {x})"
@@ -150,6 +154,8 @@ class Spark:
 
 
 class Duck(Spark):
+    string = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+
     def t(self, name):
         return f"({MADE[name][2]()})" if name in MADE else f"({INPUTS[name](self)})" if name in INPUTS else name
 

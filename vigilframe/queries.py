@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilframe.functions import rewriting
 from vigilframe.functions import text as T
-from vigilframe.operators import conversation, detectors, graph, obfuscation, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
+from vigilframe.operators import code, conversation, detectors, graph, obfuscation, payloads, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
-from vigilframe.plans.golden import CASES, OBFUSCATED
+from vigilframe.plans.golden import CASES, OBFUSCATED, VULNERABLE
 from vigilframe.plans.scored_sql import scored_sql
 from vigilframe.plans.sql import PLANS, oracle, query
 from vigilframe.sources import io
@@ -67,6 +68,22 @@ def sc3_redacted_conversations(spark, sf_dir):
     return scanners.guard(_table(spark, sf_dir, "conversations"), rules=rules.PII).select("conv_id", "turn", "redacted_text")
 
 
+def sc21_code_scanner(spark, sf_dir):
+    """SC21: vulnerable code in the documents and in snippets by hand."""
+    snippets = spark.createDataFrame(list(VULNERABLE), "id long, code string")
+    return code.scan_code(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code")).unionByName(snippets))
+
+
+def f16_normalise(spark, sf_dir):
+    """F16: every document normalised, with the characters that each step changed."""
+    return _table(spark, sf_dir, "documents").select("doc_id", rewriting.normalised("text").alias("n")).select("doc_id", F.col("n.text").alias("text"), F.to_json("n.changed").alias("changed"), "n.modified")
+
+
+def f19_mask(spark, sf_dir):
+    """every document masked with numbered placeholders, and what they stand for."""
+    return _table(spark, sf_dir, "documents").select("doc_id", rewriting.masked("text").alias("m")).select("doc_id", F.col("m.text").alias("text"), F.to_json("m.mapping").alias("mapping"))
+
+
 def snk3_sarif(spark, sf_dir):
     return io.sarif(scanners.scan(_table(spark, sf_dir, "documents"), rules=rules.SECRETS + rules.PII))
 
@@ -156,7 +173,7 @@ def t3_priority_queue(spark, sf_dir):
     return usage.priority_queue(_table(spark, sf_dir, "events"))
 
 
-_OWN = (j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, guard_verdicts, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
+_OWN = (sc21_code_scanner, f16_normalise, f19_mask, j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, guard_verdicts, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
 QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
 # In place of the plan, whose SQL checks it.
