@@ -6,6 +6,7 @@ A null text counts as empty. Scores are rounded to four places. Where several ro
 
 from pyspark.sql import functions as F
 
+from vigilframe.operators.scanners import spread
 from vigilframe.plans import tables as t
 from vigilframe.plans.golden import DETECTOR_TEXTS
 from vigilframe.plans.sql import MADE, Duck, op
@@ -15,7 +16,7 @@ TEXTS = "SELECT doc_id AS id, coalesce(text, '') AS text FROM documents"
 
 def texts(documents):
     golden = documents.sparkSession.createDataFrame(list(DETECTOR_TEXTS), "id long, text string")
-    return documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).unionByName(golden)
+    return spread(documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))).unionByName(golden)
 
 
 MADE["texts"] = ("documents", texts, lambda: f"{TEXTS} UNION ALL SELECT * FROM {Duck().values(DETECTOR_TEXTS, 'golden', 'id', 'text')}")
