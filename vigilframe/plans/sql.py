@@ -275,15 +275,17 @@ def apply(spark: SparkSession, name: str, options: dict | None = None, **frames:
     return spark.sql(_doubles(PLANS[name](Spark(), **(options or {})), "D"), **frames)
 
 
-def query(name: str):
-    def frame(spark, sf_dir, t):
-        if t in MADE:
-            return MADE[t][1](frame(spark, sf_dir, MADE[t][0]))
-        if t in INPUTS:
-            text = INPUTS[t](Spark())
-            return spark.sql(_doubles(text, "D"), **{u: frame(spark, sf_dir, u) for u in named(text)})
-        return spark.read.parquet(f"{sf_dir}/{t}.parquet")
+def frame(spark: SparkSession, sf_dir: str, t: str) -> DataFrame:
+    """A test table, or an input made from the test tables."""
+    if t in MADE:
+        return MADE[t][1](frame(spark, sf_dir, MADE[t][0]))
+    if t in INPUTS:
+        text = INPUTS[t](Spark())
+        return spark.sql(_doubles(text, "D"), **{u: frame(spark, sf_dir, u) for u in named(text)})
+    return spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
 
+def query(name: str):
     def run(spark, sf_dir):
         return apply(spark, name, **{t: frame(spark, sf_dir, t) for t in tables(name)})
 

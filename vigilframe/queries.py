@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions import rewriting
 from vigilframe.functions import text as T
-from vigilframe.operators import code, conversation, detectors, graph, obfuscation, payloads, policy, privacy, reports, scalars, scanners, similarity, usage  # noqa: F401  registers plans
+from vigilframe.operators import code, conversation, detectors, graph, hooks, obfuscation, payloads, policy, privacy, reports, scalars, scanners, schemas, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
 from vigilframe.plans.golden import CASES, OBFUSCATED, VULNERABLE
 from vigilframe.plans.scored_sql import scored_sql
-from vigilframe.plans.sql import PLANS, oracle, query
+from vigilframe.plans.sql import PLANS, frame, oracle, query
 from vigilframe.sources import io
 from vigilframe.streaming import guards
 
@@ -173,9 +173,35 @@ def t3_priority_queue(spark, sf_dir):
     return usage.priority_queue(_table(spark, sf_dir, "events"))
 
 
-_OWN = (sc21_code_scanner, f16_normalise, f19_mask, j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, guard_verdicts, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
+def snk3_sarif_logs(spark, sf_dir):
+    """SNK3: whole logs of the secrets and personal data in documents."""
+    return io.sarif_logs(scanners.scan(_table(spark, sf_dir, "documents"), rules=rules.SECRETS + rules.PII))
+
+
+def snk7_scan_events(spark, sf_dir):
+    """SNK7: a log record for each document's scan."""
+    return io.scan_events(scanners.guard(_table(spark, sf_dir, "documents"), rules=rules.PII + rules.TOXICITY))
+
+
+def sc33_tool_schemas(spark, sf_dir):
+    """SC33: definitions by hand, and every turn as the description of a tool."""
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), F.to_json(F.struct(F.lit("t").alias("name"), F.col("text").alias("description"))).alias("definition"))
+    return schemas.findings(scanners.spread(turns).unionByName(spark.createDataFrame(list(schemas.TOOLS), "id long, definition string")))
+
+
+def src9_hook_decisions(spark, sf_dir):
+    """SRC9: every tool call of the inputs as a hook event, decided."""
+    calls = frame(spark, sf_dir, "tool_calls")
+    event = F.concat(F.lit('{"tool_name": "'), F.col("tool"), F.lit('", "tool_input": '), F.col("args"), F.lit("}"))
+    return hooks.decisions(io.hook_events(calls.withColumn("value", event), keep=("session", "seq"))).withColumn("reasons", F.array_join("reasons", ","))
+
+
+st4_adaptive_throttle = _guarded(lambda: guards.adaptive_throttle(base=6, window=86400.0, levels=(1, 2, 4), cooldown=21600.0))
+
+
+_OWN = (sc33_tool_schemas, snk3_sarif_logs, snk7_scan_events, src9_hook_decisions, sc21_code_scanner, f16_normalise, f19_mask, j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, guard_verdicts, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
-QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
+QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st4_adaptive_throttle": st4_adaptive_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
 # In place of the plan, whose SQL checks it.
 QUERIES |= {"t3_priority_queue": t3_priority_queue}
 _EDGES = "(SELECT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders)"

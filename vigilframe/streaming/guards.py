@@ -36,7 +36,7 @@ def token_bucket(capacity: float = 5.0, rate: float = 1 / 3600, cost: float = 1.
 
 
 def violation_throttle(window: float = 86400.0, most: int = 3, pause: float = 7200.0, bad: float = 80.0) -> tuple[Callable, str]:
-    """ST3, ST4: an event of value over `bad` is a violation; `most` of them in the window stop the key for the pause."""
+    """ST3: an event of value over `bad` is a violation; `most` of them in the window stop the key for the pause."""
 
     def step(state, events):
         seen, until = [list(x) if isinstance(x, (list, tuple)) else x for x in state] if state else ([], 0.0)
@@ -53,6 +53,30 @@ def violation_throttle(window: float = 86400.0, most: int = 3, pause: float = 72
     return step, "allowed boolean, violations double, stopped_for double"
 
 
+def adaptive_throttle(base: float = 100, window: float = 60.0, levels: tuple[int, ...] = (3, 7, 12), shares: tuple[float, ...] = (1.0, 0.5, 0.25, 0.0), cooldown: float = 120.0, bad: float = 80.0) -> tuple[Callable, str]:
+    """ST4: incidents (events of value over `bad`) of the window raise the level (0 normal, 3 blocked); every whole cooldown
+    since the last of them lowers it by one. A request passes while the window holds fewer passed ones than the level's
+    share of `base`; else it is told when to retry. An event is checked before it counts as an incident."""
+
+    def step(state, events):
+        incidents, passed = [list(x) for x in state] if state else ([], [])
+        for at, value in events:
+            incidents, passed = ([t for t in kept if t >= at - window] for kept in (incidents, passed))
+            level = sum(len(incidents) >= n for n in levels)
+            if level:
+                level = max(0, level - max(0, int((at - max(incidents)) // cooldown)))
+            ok = level < len(levels) and len(passed) < base * shares[level]
+            wait = 0.0 if ok else cooldown if level == len(levels) else max(0.0, min(passed) + window - at) if passed else 0.0
+            if ok:
+                passed.append(at)
+            if value > bad:
+                incidents.append(at)
+            yield (ok, float(level), wait)
+        yield incidents, passed
+
+    return step, "allowed boolean, level double, retry_after double"
+
+
 def circuit_breaker(failures: int = 3, rest: float = 43200.0, bad: float = 80.0) -> tuple[Callable, str]:
     """ST5: closed until `failures` bad events in a row, open for `rest` seconds, then half-open for one trial."""
 
