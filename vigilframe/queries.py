@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions import rewriting
 from vigilframe.functions import text as T
-from vigilframe.operators import code, conversation, detectors, graph, hooks, obfuscation, payloads, policy, privacy, reports, scalars, scanners, schemas, similarity, usage  # noqa: F401  registers plans
+from vigilframe.operators import code, conversation, detectors, graph, hooks, near_pairs, obfuscation, payloads, policy, privacy, reports, scalars, scanners, schemas, similarity, usage  # noqa: F401  registers plans
 from vigilframe.plans import rules
 from vigilframe.plans.golden import CASES, OBFUSCATED, VULNERABLE
 from vigilframe.plans.scored_sql import scored_sql
@@ -173,6 +173,11 @@ def t3_priority_queue(spark, sf_dir):
     return usage.priority_queue(_table(spark, sf_dir, "events"))
 
 
+def j4_word_gram_duplicates(spark, sf_dir):
+    """Pairs of near duplicates, without a row for each gram."""
+    return near_pairs.near_pairs(_table(spark, sf_dir, "documents"))
+
+
 def snk3_sarif_logs(spark, sf_dir):
     """SNK3: whole logs of the secrets and personal data in documents."""
     return io.sarif_logs(scanners.scan(_table(spark, sf_dir, "documents"), rules=rules.SECRETS + rules.PII))
@@ -202,8 +207,8 @@ st4_adaptive_throttle = _guarded(lambda: guards.adaptive_throttle(base=6, window
 _OWN = (sc33_tool_schemas, snk3_sarif_logs, snk7_scan_events, src9_hook_decisions, sc21_code_scanner, f16_normalise, f19_mask, j22_kept_spans, sc9_obfuscation, a10_private_counts, guard_scan, guard_verdicts, sc_rule_counts, sc_golden, g5_scan_metrics, g4_guard_distinct, sc3_redacted_conversations, snk3_sarif, j17_reachable, j18_components, j18_cycles, st1_stream_guard, st2_token_bucket_batch, st7_window_alerts)
 QUERIES = {f.__name__: f for f in _OWN} | {name: query(name) for name in PLANS}
 QUERIES |= {"st2_token_bucket": st2_token_bucket, "st3_violation_throttle": st3_violation_throttle, "st4_adaptive_throttle": st4_adaptive_throttle, "st5_circuit_breaker": st5_circuit_breaker, "st6_expiring_cache": st6_expiring_cache}
-# In place of the plan, whose SQL checks it.
-QUERIES |= {"t3_priority_queue": t3_priority_queue}
+# In place of the plans, whose SQL checks them.
+QUERIES |= {"t3_priority_queue": t3_priority_queue, "j4_word_gram_duplicates": j4_word_gram_duplicates}
 _EDGES = "(SELECT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders)"
 SQL = {name: oracle(name) for name in PLANS} | {
     "sc_rule_counts": _rule_counts_sql(),
